@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from . import mixing, topk
+from . import compression_rules, mixing, packing, planes, topk
 
 QUERIES = {
+    "op4_compression_rules": compression_rules.op4_compression_rules,
+    "op5_planes": planes.op5_planes,
     "op7_mixing": mixing.op7_mixing,
+    "op9_packing": packing.op9_packing,
     "op10_topk": topk.op10_topk,
 }
 
