@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import compression_rules, mixing, packing, planes, topk
+from . import bradley_terry, compression_rules, mixing, packing, planes, topk, toxicity
 
 QUERIES = {
+    "op1_quality": bradley_terry.op1_quality,
     "op4_compression_rules": compression_rules.op4_compression_rules,
     "op5_planes": planes.op5_planes,
     "op7_mixing": mixing.op7_mixing,
+    "op8_toxicity": toxicity.op8_toxicity,
     "op9_packing": packing.op9_packing,
     "op10_topk": topk.op10_topk,
 }
