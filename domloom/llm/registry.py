@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bradley_terry, compression_rules, mixing, packing, planes, topk, toxicity
+from . import bradley_terry, compression_rules, minhash, mixing, packing, planes, topk, toxicity
 
 QUERIES = {
     "op1_quality": bradley_terry.op1_quality,
+    "op2_minhash": minhash.op2_minhash,
     "op4_compression_rules": compression_rules.op4_compression_rules,
     "op5_planes": planes.op5_planes,
     "op7_mixing": mixing.op7_mixing,
@@ -15,6 +16,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op2_minhash": minhash.ORACLE,
     "op7_mixing": mixing.ORACLE,
     "op10_topk": topk.ORACLE,
 }
