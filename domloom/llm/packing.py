@@ -41,6 +41,7 @@ def piece_lengths(n: int, longest: int = LENGTH) -> list[int]:
 def _packer(path: str, end_id: int, longest: int, with_ids: bool) -> Callable:
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, part, used = encoder(path, end_id), TaskContext.get().partitionId(), dict.fromkeys((1 << b for b in range(longest.bit_length())), 0)
+        wide = 2 if len(words.closes) <= 1 << 16 else 4
         for batch in batches:
             for block in tb.blocks(batch.column("text"), 1 << 22):
                 ids, offsets = words.encode(block)
@@ -67,14 +68,15 @@ def _packer(path: str, end_id: int, longest: int, with_ids: bool) -> Callable:
                     "place": pa.array(place, pa.int64()),
                 }
                 if with_ids:
-                    row["ids"] = pa.array([bytes(view[4 * a : 4 * (a + n)]) for a, n in zip(bounds, length, strict=True)], pa.binary())
+                    raw = memoryview(ids.astype(f"<u{wide}")).cast("B")
+                    row["ids"] = pa.array([bytes(raw[wide * a : wide * (a + n)]) for a, n in zip(bounds, length, strict=True)], pa.binary())
                 yield pa.record_batch(row)
 
     return pack
 
 
 def pack(docs: DataFrame, *, path: str | None = None, end_id: int = 1, longest: int = LENGTH, with_ids: bool = False) -> DataFrame:
-    """One row per piece; with_ids adds the ids as little-endian unsigned 32-bit integers."""
+    """One row per piece; with_ids adds the ids, little-endian and unsigned, of 2 bytes if the vocabulary fits, else of 4."""
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, part int, place long" + ", ids binary" * with_ids
     pieces = stage(docs.select("doc_id", "text").mapInArrow(_packer(path or tokenizer_path(), end_id, longest, with_ids), schema), "pieces")
     counts = pieces.groupBy("length", "part").agg(F.count("*").alias("n"))

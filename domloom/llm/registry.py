@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bradley_terry, compression_rules, minhash, mixing, packing, planes, topk, toxicity
+from . import bradley_terry, compression_rules, minhash, mixing, packing, pii, planes, topk, toxicity
 
 QUERIES = {
     "op1_quality": bradley_terry.op1_quality,
     "op2_minhash": minhash.op2_minhash,
+    "op3_pii": pii.op3_pii,
     "op4_compression_rules": compression_rules.op4_compression_rules,
     "op5_planes": planes.op5_planes,
     "op7_mixing": mixing.op7_mixing,

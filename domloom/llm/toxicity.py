@@ -230,7 +230,7 @@ def thresholds(scored: DataFrame, trains: DataFrame, *, least_toxic: int = 20) -
     return best.select("lang", F.when(F.col("n") >= least_toxic, F.greatest("edge", F.lit(0.05))).otherwise(0.5).alias("threshold"))
 
 
-def _training(spark: SparkSession, sf_dir: str) -> DataFrame:
+def training_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labels(spark, sf_dir).where((fold("doc_id", 5) != 0) & F.col("toxic").isin(0, 1)).select("doc_id", F.col("toxic").alias("label"))
 
 
@@ -257,6 +257,6 @@ def drop_toxic(docs: DataFrame, trains: DataFrame) -> DataFrame:
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = classify(documents(spark, sf_dir), _training(spark, sf_dir))
+    found = classify(documents(spark, sf_dir), training_labels(spark, sf_dir))
     predicted = F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted")
     return found.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", predicted, "threshold", "rejected")
