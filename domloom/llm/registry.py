@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bradley_terry, compression_rules, minhash, mixing, packing, pii, planes, topk, toxicity
+from . import bradley_terry, compression_rules, lm, minhash, mixing, packing, pii, planes, topk, toxicity
 
 QUERIES = {
     "op1_quality": bradley_terry.op1_quality,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_pii": pii.op3_pii,
     "op4_compression_rules": compression_rules.op4_compression_rules,
     "op5_planes": planes.op5_planes,
+    "op6_lm": lm.op6_lm,
     "op7_mixing": mixing.op7_mixing,
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_packing": packing.op9_packing,
