@@ -194,9 +194,14 @@ def scores(model: Model | None, column: pa.Array) -> np.ndarray:
 
 def learn(docs: DataFrame, trains: DataFrame, *, sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES) -> Model | None:
     """A model from (doc_id, label) rows that may be learned from."""
-    marked = docs.select("doc_id", "text").where(F.octet_length("text") <= sample_bytes).join(trains.where(F.col("doc_id").isNotNull()).select("doc_id", "label"), "doc_id")
-    some = [marked.where(F.col("label") == c).orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(sample_rows).select("text", "label").toArrow() for c in (0, 1)]
-    both = pa.concat_tables(some)
+    short = docs.where(F.octet_length("text") <= sample_bytes).select("doc_id")
+    marked = trains.where(F.col("doc_id").isNotNull()).select("doc_id", "label").join(short, "doc_id", "left_semi")
+    chosen = [marked.where(F.col("label") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows) for c in (0, 1)]
+    chosen = stage(chosen[0].unionAll(chosen[1]), "sample")
+    # at most 2 x sample_rows ids are broadcast, and texts of at most sample_bytes come back (the first of a repeated id)
+    texts = docs.where(F.octet_length("text") <= sample_bytes).select("doc_id", "text").join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id", "left_semi")
+    texts = texts.groupBy("doc_id").agg(F.min("text").alias("text"))
+    both = texts.join(F.broadcast(chosen), "doc_id").orderBy("label", F.xxhash64("doc_id"), "doc_id").select("text", "label").toArrow()
     return fit(both.column("text").combine_chunks(), both.column("label").to_numpy().astype(np.int64))
 
 
