@@ -13,9 +13,15 @@ Groups, not pairs:
 * Equal sets are one node (grouped by a set hash, with partial aggregation), so
   thousands of copies cost one node.
 * Inside a bucket, nodes are first compared with one leader only; links are closed
-  to components; a second round uses other leaders.  Only what then still stands
-  in one bucket in different components is compared pair by pair - there the pair
-  decides whether two components meet.  No bucket emits all its pairs.
+  to components; a second round uses other leaders.  Only nodes that then still
+  stand in one bucket in different components are compared with each other - there
+  a pair decides whether two components meet.
+* Of those, buckets of at most 24 nodes give pairs (at most 12 a node and bucket).
+  Larger ones, closed to groups over shared nodes, are compared in blocks: nodes of
+  a group are dealt by size class, since only adjacent classes can reach the
+  similarity, into blocks of 128 to 2048 nodes, and a task compares two blocks by an
+  inverted index and gives only the links that join components there, fewer than
+  its nodes.  No bucket emits its pairs.
 * Components come from alternating large-star and small-star steps over the
   links, each step a written table.
 
@@ -45,6 +51,7 @@ from .common import documents, shared_folder, stage
 
 BANDS, ROWS = 60, 7
 UNIVERSE = 1 << 20
+FEW = 24
 _U = np.uint64
 
 
@@ -150,6 +157,54 @@ def _confirm(k: int, percent: int) -> Callable:
     return confirm
 
 
+def meeting(first: list, second: list | None, percent: int) -> list[tuple[int, int]]:
+    """Links that join components: items are (node, root, set); second None compares first with itself.
+
+    Of the links between two components one is given, none inside a component.
+    """
+    other = first if second is None else second
+    rows, values = np.repeat(np.arange(len(other)), [len(x[2]) for x in other]), np.concatenate([x[2] for x in other])
+    order = np.argsort(values, kind="stable")
+    rows, values = rows[order], values[order]
+    sizes = np.array([len(x[2]) for x in other])
+    parent: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (up := parent.get(x, x)) != x:
+            parent[x] = x = parent.get(up, up)
+        return x
+
+    links = []
+    for i, (node, root, own) in enumerate(first):
+        low, high = np.searchsorted(values, own, "left"), np.searchsorted(values, own, "right")
+        n = high - low
+        hits = rows[np.repeat(low - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())]
+        common = np.bincount(hits, minlength=len(other))
+        for j in np.flatnonzero(100 * common >= percent * (sizes + len(own) - common)).tolist():
+            if (second is not None or j > i) and (a := top(root)) != (b := top(other[j][1])):
+                parent[a] = b
+                links.append((node, other[j][0]))
+    return links
+
+
+def _meet(k: int, percent: int) -> Callable:
+    def meet(table: pa.Table) -> pa.Table:
+        sides: tuple[list, list] = [], []
+        role, node, root = (table.column(c).to_pylist() for c in ("role", "node", "root"))
+        at = 0
+        for block in tb.blocks(table.column("text").combine_chunks()):
+            values, offsets = shingle_sets(block, k)
+            for d, h in enumerate(set_hashes(values, offsets).view(np.int64).tolist()):
+                if h == node[at]:  # a repeated id can bring another text: it is not the node's
+                    sides[role[at]].append((node[at], root[at], values[offsets[d] : offsets[d + 1]]))
+                at += 1
+        alone = not any(role)
+        links = meeting(sides[0], None if alone else sides[1], percent) if sides[0] and (alone or sides[1]) else []
+        return pa.table([pa.array([x[j] for x in links], pa.int64()) for j in (0, 1)], ["a", "b"])
+
+    return meet
+
+
 def connected(links: DataFrame, folder: str, name: str) -> DataFrame:
     """(node, root) of every node with a link (a, b): root is the least node reachable."""
     edges = stage(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), f"{name}-0", folder)
@@ -168,6 +223,32 @@ def connected(links: DataFrame, folder: str, name: str) -> DataFrame:
     return roots.unionAll(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
+def _in_blocks(nodes: DataFrame, texts: DataFrame, k: int, percent: int, folder: str) -> DataFrame:
+    """Links between components among the nodes (node, root, n, g) of each group g, block against block."""
+    step = float(np.log(100 / percent)) * (1 + 1e-9)  # sizes that can match lie in one class or in neighbours
+    nodes = nodes.withColumn("c", F.floor(F.log(F.col("n").cast("double")) / step).cast("int"))
+    per_class = nodes.groupBy("g", "c").agg(F.count("*").alias("m"))
+    fill = F.least(F.greatest(F.col("m") / 16, F.lit(128.0)), F.lit(2048.0))
+    per_class = stage(per_class.select("g", "c", F.ceil(F.col("m") / fill).cast("int").alias("blocks")), "classes", folder)
+    nodes = stage(nodes.join(per_class, ["g", "c"]).withColumn("h", F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int")), "dealt", folder)
+    # block h meets itself and the later ones of its class, and all of the next class
+    over = per_class.select("g", (F.col("c") - 1).alias("c"), F.col("blocks").alias("above"))
+    under = per_class.select("g", (F.col("c") + 1).alias("c"), F.col("blocks").alias("below"))
+    known = nodes.join(over, ["g", "c"], "left").join(under, ["g", "c"], "left").select("node", "root", "g", "c", "h", "blocks", F.coalesce("above", F.lit(0)).alias("above"), F.coalesce("below", F.lit(0)).alias("below"))
+    meets = lambda c, h, d, i, role: F.struct(c.alias("c1"), h.alias("h1"), d.alias("c2"), i.alias("h2"), F.lit(role).alias("role"))
+    to = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    c, h = F.col("c"), F.col("h")
+    places = F.concat(
+        F.transform(F.sequence(h, F.col("blocks") - 1), lambda i: meets(c, h, c, i, 0)),
+        F.transform(to(h), lambda i: meets(c, i, c, h, 1)),
+        F.transform(to(F.col("above")), lambda i: meets(c, h, c + 1, i, 0)),
+        F.transform(to(F.col("below")), lambda i: meets(c - 1, i, c, h, 1)),
+    )
+    dealt = known.select("node", "root", "g", F.explode(places).alias("p")).select("node", "root", "g", "p.*").join(texts, "node")
+    met = dealt.groupBy("g", "c1", "h1", "c2", "h2").applyInArrow(_meet(k, percent), "a long, b long")
+    return stage(met, "links-blocks", folder)
+
+
 def near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of docs."""
     folder = shared_folder(docs.sparkSession)
@@ -209,13 +290,19 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 80, bands: in
     found = found.unionAll(links(again, "links-2"))
     roots = connected(found, folder, "round-2")
 
-    # the rest: pairs of one bucket that still stand in different components
+    # the rest: nodes of one bucket that still stand in different components
     left = unsettled(roots, "left-2")
-    x, y = (left.select("bucket", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "root", "n")]) for s in "ab")
+    sized = left.groupBy("bucket").agg(F.count("*").alias("m"), F.min("node").alias("head"))
+    left = stage(left.join(sized, "bucket"), "left-sized", folder)
+    x, y = (left.where(F.col("m") <= FEW).select("bucket", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "root", "n")]) for s in "ab")
     rest = x.join(y, "bucket").where("root_a < root_b").where(fits).select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
     rest = stage(rest.join(asked.select("a", "b"), ["a", "b"], "left_anti").join(again.select("a", "b"), ["a", "b"], "left_anti"), "asked-3", folder)
-    more = links(rest, "links-3")
-    roots = connected(found.unionAll(more), folder, "round-3") if not more.isEmpty() else roots
+    found = found.unionAll(links(rest, "links-3"))
+    many = left.where(F.col("m") > FEW)
+    if not many.isEmpty():
+        group = connected(many.select(F.col("head").alias("a"), F.col("node").alias("b")).where("a <> b"), folder, "groups").select("node", F.col("root").alias("g"))
+        found = found.unionAll(_in_blocks(many.select("node", "root", "n").distinct().join(group, "node"), texts, k, percent, folder))
+    roots = connected(found, folder, "round-3")
 
     grouped = nodes.join(roots, "node")
     least = grouped.groupBy("root").agg(F.min("doc_id").alias("component_id"))
