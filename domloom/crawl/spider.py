@@ -112,14 +112,15 @@ class Crawl:
         """The items of each wave as it ends."""
         spider, s = self.spider, self.stats
         held = self.checkpoint.load() if self.checkpoint else None
+        sessions = policy.sessions(self.spark, list(spider.sessions))
         spider.on_start(held is not None)
         if held:
             queue, seen = self._keep(held[0], "queue-0"), self._keep(held[1], "seen-0")
         else:
-            queue, seen = frontier.enqueue(spider.start_requests(self.spark))
+            # sessions are part of a fingerprint: settle them before the first look
+            queue, seen = frontier.enqueue(policy.with_session(spider.start_requests(self.spark), sessions).drop("known"))
             queue, seen = self._keep(queue, "queue-0"), self._keep(seen, "seen-0")
         self.logs: list[DataFrame] = []
-        sessions = policy.sessions(self.spark, list(spider.sessions))
         while s["waves"] < spider.max_waves and not self.stop and not queue.isEmpty():
             s["waves"] = k = s["waves"] + 1
             taken = self._keep(frontier.next_wave(queue, spider.per_domain, spider.wave_size), f"taken-{k}")

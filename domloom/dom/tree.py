@@ -13,7 +13,8 @@ descendants ``i + 1 .. end[i]``.  The builder is iterative and forgiving; its ru
 * an end tag closes down to its nearest open match inside the current table cell,
   or is ignored; ``</body>`` and ``</html>`` are ignored; the end closes all;
 * html and body are supplied where missing, head only if something belongs there;
-  blank text directly between tags is dropped outside pre and textarea;
+  blank text directly between tags is dropped outside pre and textarea, but kept
+  after inline elements, where it parts words;
 * comments, processing instructions and doctypes are dropped (comments are kept on
   request as nodes named ``#comment``), CDATA sections are dropped or kept as text;
 * a blank document is one html element.
@@ -32,6 +33,7 @@ HEAD = frozenset("title meta link base style script noscript template".split())
 BLOCK = frozenset(
     "address article aside blockquote center details dialog dir div dl dt dd fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre section summary table ul".split()
 )
+INLINE = frozenset("a abbr b bdi bdo big button cite code data del dfn em font i img input ins kbd label mark q s samp select small span strike strong sub sup time tt u var".split())
 SCOPE = frozenset("html table td th caption button object template marquee applet".split())
 #: A start tag: what it closes, and where the search for that stops.
 IMPLIED = {
@@ -195,7 +197,7 @@ class _Builder:
         if not text:
             return
         t = self.tree
-        keeps = self.open and t.tag[self.open[-1]] in ("pre", "textarea")
+        keeps = self.open and (t.tag[self.open[-1]] in ("pre", "textarea") or (self.last >= 0 and t.tag[self.last] in INLINE and t.parent[self.last] == self.open[-1]))
         if not text.strip() and not keeps:
             return
         if not self.open or (self.body < 0 and t.tag[self.open[-1]] in ("html", "head")):

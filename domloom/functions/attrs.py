@@ -40,7 +40,7 @@ def json_string(attrs: ColumnLike) -> Column:
 def get_list(attrs: ColumnLike, name: str, separator: str = " ") -> Column:
     """The value's parts, stripped, empty ones left out; empty if the attribute is missing."""
     parts = F.split(F.coalesce(F.element_at(_c(attrs), name), F.lit("")), "\\Q" + separator + "\\E")
-    return F.filter(F.transform(parts, F.trim), lambda s: s != "")
+    return F.filter(F.transform(parts, lambda s: F.trim(s)), lambda s: s != "")
 
 
 def has_class(attrs: ColumnLike, name: str) -> Column:

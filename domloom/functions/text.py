@@ -77,7 +77,8 @@ def re_all(c: ColumnLike, pattern: str | re.Pattern, *, replace_entities: bool =
     if groups < 2:
         return F.regexp_extract_all(c, java, F.lit(groups))
     each = [F.regexp_extract_all(c, java, F.lit(g)) for g in range(1, groups + 1)]
-    return F.flatten(F.transform(F.sequence(F.lit(0), F.size(each[0]) - 1), lambda i: F.array(*[F.get(e, i) for e in each]))) if groups else each[0]
+    zipped = F.arrays_zip(*each)  # the strings must not appear inside the lambda: decoding is a Python function
+    return F.flatten(F.transform(zipped, lambda z: F.array(*[z.getField(str(g)) for g in range(groups)])))
 
 
 def re_first(c: ColumnLike, pattern: str | re.Pattern, default: str | None = None, **options) -> Column:

@@ -62,7 +62,7 @@ def metadata_from_nodes(nodes: DataFrame) -> DataFrame:
     by = lambda key, name: first(content, is_meta & (F.element_at("attrs", key) == name))
     cols = {f: by("name", n) for f, n in BY_NAME.items()} | {f: by("property", n) for f, n in BY_PROPERTY.items()}
     cols["title"] = F.coalesce(first(F.nullif("text", F.lit("")), F.col("tag") == "title"), by("name", "title"))
-    cols["keywords"] = F.coalesce(F.transform(F.split(by("name", "keywords"), ","), F.trim), F.array().cast("array<string>"))
+    cols["keywords"] = F.coalesce(F.transform(F.split(by("name", "keywords"), ","), lambda s: F.trim(s)), F.array().cast("array<string>"))
     cols["canonical_url"] = first(F.element_at("attrs", "href"), (F.col("tag") == "link") & (F.element_at("attrs", "rel") == "canonical"))
     cols["charset"] = first(F.element_at("attrs", "charset"), is_meta)
     some = nodes.select("page_id", "pre", "tag", "attrs", F.when(F.col("tag") == "title", F.col("text")).alias("text"))
