@@ -43,7 +43,7 @@ def _packer(path: str, end_id: int, longest: int, with_ids: bool) -> Callable:
         words, part, used = encoder(path, end_id), TaskContext.get().partitionId(), dict.fromkeys((1 << b for b in range(longest.bit_length())), 0)
         wide = 2 if len(words.closes) <= 1 << 16 else 4
         for batch in batches:
-            for block in tb.blocks(batch.column("text"), 1 << 22):
+            for block in tb.blocks(batch.column("text"), 3 << 20):
                 ids, offsets = words.encode(block)
                 view = memoryview(np.ascontiguousarray(ids, "<u4")).cast("B")
                 doc, start, length, crc, place, bounds = [], [], [], [], [], []

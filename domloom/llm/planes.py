@@ -123,7 +123,7 @@ def _writer(path: str, end_id: int, kind: int, ids_per_file: int) -> Callable:
             return pa.record_batch(row, schema=pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("n_ids", pa.int64()), ("file", pa.binary())]))
 
         for batch in batches:
-            for block in tb.blocks(batch.column("text"), 1 << 22):
+            for block in tb.blocks(batch.column("text"), 3 << 20):
                 new, offsets = words.encode(block)
                 doc = batch.column("doc_id").slice(block.first, len(block)).cast(pa.int64())
                 ids.append(new)

@@ -60,41 +60,48 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.index: dict[int, int] = {}
+        self.keys, self.places = np.zeros(0, np.uint64), np.zeros(0, np.int32)  # known hashes, ascending, and their words' places
         self.ids = np.zeros(1 << 16, np.uint32)
-        self.starts, self.lens = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
-        self.used = 0
-
-    def _learn(self, keys: list[int], words: list[str]) -> None:
-        plain = [i for i, w in enumerate(words) if _PLAIN(w)]
-        for at in range(0, len(plain), 4096):
-            some = plain[at : at + 4096]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join([words[i] for i in some])], add_special_tokens=False)[0].ids, np.uint32)
+        self.starts, self.lens = np.zeros(1 << 14, np.int32), np.zeros(1 << 14, np.int32)
+        self.used = self.known = 0
+
+    def _learn(self, words: list[str]) -> np.ndarray:
+        """Remember the ids of new words; their places."""
+        places = np.empty(len(words), np.int32)
+        plain = np.array([_PLAIN(w) is not None for w in words], bool)
+        some = np.flatnonzero(plain)
+        for at in range(0, len(some), 4096):
+            part = some[at : at + 4096]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join([words[i] for i in part])], add_special_tokens=False)[0].ids, np.uint32)
             ends = np.flatnonzero(self.closes[ids]) + 1
-            if len(ends) != len(some):  # not the tokenizer described above
-                self._learn_each([keys[i] for i in some], [words[i] for i in some])
+            if len(ends) != len(part):  # not the tokenizer described above
+                plain[part] = False
                 continue
-            starts = np.concatenate(([0], ends[:-1]))
-            self._keep([keys[i] for i in some], ids, starts, ends - starts)
-        rest = sorted(set(range(len(words))).difference(plain))
-        self._learn_each([keys[i] for i in rest], [words[i] for i in rest])
-
-    def _learn_each(self, keys: list[int], words: list[str]) -> None:
-        for at in range(0, len(words), 4096):
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(words[at : at + 4096], add_special_tokens=False)]
-            lens = np.array([len(x) for x in found], np.int64)
-            self._keep(keys[at : at + 4096], np.array([i for x in found for i in x], np.uint32), np.cumsum(lens) - lens, lens)
-
-    def _keep(self, keys: list[int], ids: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> None:
-        n, used = len(self.index), self.used
-        for name, new, at in (("ids", ids, used), ("starts", starts + used, n), ("lens", lens, n)):
+            places[part] = self._keep(ids, np.diff(ends, prepend=0))
+        rest = np.flatnonzero(~plain)
+        for at in range(0, len(rest), 4096):
+            part = rest[at : at + 4096]
+            found = [e.ids for e in self.tokenizer.encode_batch_fast([words[i] for i in part], add_special_tokens=False)]
+            places[part] = self._keep(np.array([i for x in found for i in x], np.uint32), np.array([len(x) for x in found]))
+        return places
+
+    def _keep(self, ids: np.ndarray, lens: np.ndarray) -> np.ndarray:
+        n, used = self.known, self.used
+        for name, new, at in (("ids", ids, used), ("starts", np.cumsum(lens) - lens + used, n), ("lens", lens, n)):
             held = getattr(self, name)
             if at + len(new) > len(held):
-                held = np.concatenate((held, np.zeros(max(len(held), len(new)), held.dtype)))
+                held = np.concatenate((held, np.zeros(max(len(held) // 2, len(new)), held.dtype)))
                 setattr(self, name, held)
             held[at : at + len(new)] = new
-        self.used += len(ids)
-        self.index.update(zip(keys, range(n, n + len(keys)), strict=True))
+        self.used, self.known = used + len(ids), n + len(lens)
+        return np.arange(n, self.known, dtype=np.int32)
+
+    def _find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of ascending hashes, and which of them are known."""
+        if not len(self.keys):
+            return np.zeros(len(hashes), np.int32), np.zeros(len(hashes), bool)
+        at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
+        return self.places[at], self.keys[at] == hashes
 
     def encode(self, block: tb.Block) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the block's documents, each closed by end_id, and their n + 1 offsets."""
@@ -106,15 +113,18 @@ class Encoder:
         cased = total[ends] != total[starts]
         hashes[cased] = tb.span_hashes(block.data, starts[cased], ends[cased])
         hashes, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.index) > self.limit:
+        if self.known > self.limit:
             self.forget()
-        keys, index = hashes.tolist(), self.index
-        new = [i for i, k in enumerate(keys) if k not in index]
-        if new:
-            raw, a, b = block.data.tobytes(), starts[first].tolist(), ends[first].tolist()
-            self._learn([keys[i] for i in new], [raw[a[i] : b[i]].decode("utf-8", "replace") for i in new])
-        at = np.fromiter(map(index.__getitem__, keys), np.int64, len(keys))[inverse]
-        lens = self.lens[at]
+        at, known = self._find(hashes)
+        if not known.all():
+            new = np.flatnonzero(~known)
+            raw, a, b = block.data.tobytes(), starts[first[new]].tolist(), ends[first[new]].tolist()
+            at[new] = self._learn([raw[i:j].decode("utf-8", "replace") for i, j in zip(a, b, strict=True)])
+            keys, places = np.concatenate((self.keys, hashes[new])), np.concatenate((self.places, at[new]))
+            order = np.argsort(keys, kind="stable")  # two ascending runs: a merge
+            self.keys, self.places = keys[order], places[order]
+        at = at[inverse]
+        lens = self.lens[at].astype(np.int64)
         before = np.concatenate(([0], np.cumsum(lens)))
         flat = self.ids[np.repeat(self.starts[at] - before[:-1], lens) + np.arange(before[-1])]
         closing = before[np.searchsorted(starts, block.offsets[1:])]
