@@ -14,8 +14,8 @@ memory-mapped file, with the smoothed joint probability of every bigram quantise
 to 1/64 of a decade.  A lookup finds the context, then searches its successors'
 range for the context-relative number ``context * vocabulary + word``.
 
-1. Texts are packed into blocks of about 8 MB, written to the shared folder once,
-   with each block's frequent words.
+1. Texts are cut into blocks of about 8 MB; each block's distinct words, its tokens
+   as numbers among them and its frequent words are written to the shared folder once.
 2. Every block sends each shard its distinct words and bigrams there with their
    training counts, as one compressed row.  A bigram lives in the shard of its
    context, unless the context is hot (more than 1/2^17 of the tokens as summed over
@@ -58,7 +58,7 @@ STEPS, LEAST = 64, -16.0  # codes per decade of probability, and the least log10
 START, END = np.uint64(1), np.uint64(2)  # hashes of the two symbols; a word's is never so small
 _U = np.uint64
 
-BLOCKS = "block long, doc_ids array<long>, trains array<boolean>, offsets binary, text binary, n_train long, n_docs long, n_tokens long, frequent array<struct<word:bigint,n:bigint>>"
+BLOCKS = "block long, doc_ids array<long>, trains array<boolean>, tokens binary, n_train long, n_docs long, n_tokens long, frequent array<struct<word:bigint,n:bigint>>"
 
 
 # ---- blocks
@@ -76,22 +76,14 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 class Bigrams:
     """A block's distinct words and bigrams, in a fixed order."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, trains: np.ndarray) -> None:
-        h, at = word_hashes(data, offsets)
-        n_docs, n = len(trains), np.diff(at)
-        ends = at[1:] + np.arange(1, n_docs + 1) - 1  # where the end tokens stand
-        tokens = np.full(len(h) + n_docs, END)
-        inside = np.ones(len(tokens), bool)
-        inside[ends] = False
-        tokens[inside] = h
-        context = np.empty_like(tokens)
-        context[1:] = tokens[:-1]
-        context[np.concatenate(([0], ends[:-1] + 1))[:n_docs]] = START
-        self.doc = np.repeat(np.arange(n_docs), n + 1)
-        self.words, ids = np.unique(np.concatenate((tokens, np.array([START, END], np.uint64))), return_inverse=True)
-        self.token = ids[: len(tokens)]
-        before = np.searchsorted(self.words, context)
-        keys, self.pair_of = np.unique(before.astype(np.int64) << 32 | self.token, return_inverse=True)
+    def __init__(self, words: np.ndarray, token: np.ndarray, n: np.ndarray, trains: np.ndarray) -> None:
+        """words: the distinct hashes, ascending, both symbols among them; token: numbers among words; n: tokens of each document."""
+        self.words, self.token = words, token
+        self.doc = np.repeat(np.arange(len(n)), n)
+        before = np.empty_like(token)
+        before[1:] = token[:-1]
+        before[(np.cumsum(n) - n)] = np.searchsorted(words, START)
+        keys, self.pair_of = np.unique(before << 32 | token, return_inverse=True)
         self.context, self.word = keys >> 32, keys & 0xFFFFFFFF
         learned = trains[self.doc]
         self.pair_n = np.bincount(self.pair_of[learned], minlength=len(keys))
@@ -142,31 +134,42 @@ def _lengthen(bits: np.ndarray, number: np.ndarray, rest: np.ndarray, n: int, ho
     return out
 
 
+def tokens_of(block: tb.Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct words with both symbols, tokens as numbers among them (an end token after each document), tokens of each document."""
+    h, at = word_hashes(block.data, block.offsets)
+    n = np.diff(at) + 1
+    tokens = np.full(len(h) + len(n), END)
+    inside = np.ones(len(tokens), bool)
+    inside[np.cumsum(n) - 1] = False
+    tokens[inside] = h
+    words, ids = np.unique(np.concatenate((tokens, np.array([START, END], np.uint64))), return_inverse=True)
+    return words, ids[: len(tokens)], n
+
+
 def make_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
     part, seq = TaskContext.get().partitionId(), 0
-    pack = zstandard.ZstdCompressor(level=3).compress
     for batch in batches:
         for block in tb.blocks(batch.column("text"), BLOCK_BYTES):
             some = batch.slice(block.first, len(block))
             trains = some.column("trains").to_numpy(zero_copy_only=False).astype(bool)
-            h, at = word_hashes(block.data, block.offsets)
-            learned = h[np.repeat(trains, np.diff(at))]
-            words, n = np.unique(learned, return_counts=True)
-            often = n * HOT >= len(learned)
+            words, token, n = tokens_of(block)
+            learned = int(n[trains].sum())
+            count = np.bincount(token[np.repeat(trains, n)], minlength=len(words))
+            often = np.flatnonzero((count * HOT >= learned) & (count > 0) & (words > END))
+            planes = token.astype("<u4").view(np.uint8).reshape(-1, 4).T
             yield pa.RecordBatch.from_pylist(
                 [
                     {
                         "block": part << 32 | seq,
                         "doc_ids": some.column("doc_id").to_pylist(),
                         "trains": trains.tolist(),
-                        "offsets": pack(block.offsets.astype("<i8").tobytes()),
-                        "text": pack(block.data.tobytes()),
-                        "n_train": len(learned) + int(trains.sum()),
+                        "tokens": _pack(words, planes, n.astype("<i8")),
+                        "n_train": learned,
                         "n_docs": int(trains.sum()),
-                        "n_tokens": len(h) + len(block),
-                        "frequent": [{"word": int(w), "n": int(c)} for w, c in zip(words[often].view(np.int64), n[often], strict=True)],
+                        "n_tokens": len(token),
+                        "frequent": [{"word": int(w), "n": int(c)} for w, c in zip(words[often].view(np.int64), count[often], strict=True)],
                     }
                 ],
                 schema=_BLOCK_TYPE,
@@ -179,8 +182,7 @@ _BLOCK_TYPE = pa.schema(
         ("block", pa.int64()),
         ("doc_ids", pa.list_(pa.int64())),
         ("trains", pa.list_(pa.bool_())),
-        ("offsets", pa.binary()),
-        ("text", pa.binary()),
+        ("tokens", pa.binary()),
         ("n_train", pa.int64()),
         ("n_docs", pa.int64()),
         ("n_tokens", pa.int64()),
@@ -190,8 +192,9 @@ _BLOCK_TYPE = pa.schema(
 
 
 def _bigrams(row: dict) -> Bigrams:
-    unpack = zstandard.ZstdDecompressor().decompress
-    return Bigrams(np.frombuffer(unpack(row["text"]), np.uint8), np.frombuffer(unpack(row["offsets"]), "<i8"), np.array(row["trains"], bool))
+    words, planes, n = _unpack(row["tokens"], "<u8", "u1", "<i8")
+    token = np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").reshape(-1).astype(np.int64)
+    return Bigrams(words, token, n, np.array(row["trains"], bool))
 
 
 # ---- requests and shards
@@ -240,21 +243,27 @@ class Trie:
         self.codes = np.frombuffer(self.map, "<u2", len(self.successors), self.successors.end)
 
     @staticmethod
-    def write(path: str, context: np.ndarray, word: np.ndarray, n: np.ndarray, total: int) -> None:
-        """context, word: hashes of bigrams, repeats allowed; n: their counts; total: training tokens."""
-        contexts, c = np.unique(context, return_inverse=True)
+    def write(path: str, contexts: np.ndarray, context: np.ndarray, word: np.ndarray, n: np.ndarray, total: int) -> None:
+        """contexts: distinct hashes, ascending; context: number of each bigram's among them; word: hash; n: count; total: training tokens.
+
+        Bigrams may repeat; contexts without a bigram are left out.
+        """
+        used = np.flatnonzero(np.bincount(context, minlength=len(contexts)))
+        rank = np.zeros(len(contexts), np.uint64)
+        rank[used] = np.arange(len(used), dtype=np.uint64)
         words, w = np.unique(word, return_inverse=True)
-        keys, at = np.unique(c.astype(np.uint64) * _U(max(len(words), 1)) + w.astype(np.uint64), return_inverse=True)
+        size = _U(max(len(words), 1))
+        keys, at = np.unique(rank[context] * size + w.astype(np.uint64), return_inverse=True)
         counts = np.bincount(at, weights=n, minlength=len(keys))
-        pointers = np.searchsorted(keys, np.arange(len(contexts) + 1, dtype=np.uint64) * _U(max(len(words), 1)))
+        pointers = np.searchsorted(keys, np.arange(len(used) + 1, dtype=np.uint64) * size)
         with open(path, "wb") as f:
-            for level in (contexts, pointers.astype(np.uint64), words, keys):
+            for level in (contexts[used], pointers.astype(np.uint64), words, keys):
                 f.write(elias_fano.encode(level))
             f.write(quantise(counts / max(total, 1)).astype("<u2").tobytes())
 
-    def codes_of(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """Codes of many bigrams; 0 where the trie has none."""
-        c, w = self.contexts.many(context), self.words.many(word)
+    def codes_of(self, contexts: np.ndarray, entry: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """Codes of many bigrams (contexts[entry], word); 0 where the trie has none."""
+        c, w = self.contexts.many(contexts)[entry], self.words.many(word)
         out, known = np.zeros(len(c), "<u2"), (c >= 0) & (w >= 0)
         at = self.successors.many(c[known].astype(np.uint64) * _U(max(len(self.words), 1)) + w[known].astype(np.uint64))
         out[known] = np.where(at >= 0, self.codes[at] if len(self.codes) else 0, 0)
@@ -288,27 +297,25 @@ def restore(code: np.ndarray) -> np.ndarray:
 def _serve(hot, total: int) -> Callable:
     def serve(table: pa.Table) -> pa.Table:
         shard, asked = table.column("shard")[0].as_py(), [Request(x.as_py(), hot.value) for x in table.column("asked")]
-        words = np.concatenate([r.words[r.home] for r in asked])
-        known, at = np.unique(words, return_inverse=True)
-        counts = np.bincount(at, weights=np.concatenate([r.n[r.home] for r in asked]), minlength=len(known)).astype(np.int64)
-        learned = [r.pair_n > 0 for r in asked]
+        known, at = np.unique(np.concatenate([r.words for r in asked]), return_inverse=True)
+        home = np.concatenate([r.home for r in asked])
+        counts = np.bincount(at[home], weights=np.concatenate([r.n for r in asked])[home], minlength=len(known)).astype(np.int64)
+        ends = np.cumsum([len(r.words) for r in asked])
+        learned = [np.flatnonzero(r.pair_n) for r in asked]
         path = os.path.join(tempfile.gettempdir(), f"trie-{os.getpid()}-{shard}")
         try:
             Trie.write(
                 path,
-                np.concatenate([r.words[r.entry[k]] for r, k in zip(asked, learned, strict=True)]),
+                known,
+                np.concatenate([at[z - len(r.words) + r.entry[k]] for r, k, z in zip(asked, learned, ends, strict=True)]),
                 np.concatenate([r.pair_words[k] for r, k in zip(asked, learned, strict=True)]),
                 np.concatenate([r.pair_n[k] for r, k in zip(asked, learned, strict=True)]),
                 total,
             )
-            trie = Trie(path)
-            answers, a = [], 0
-            for r in asked:
-                n = np.zeros(len(r.words), "<u4")
-                z = a + int(r.home.sum())
-                n[r.home] = counts[at[a:z]]
-                a = z
-                answers.append(_pack(n, trie.codes_of(r.words[r.entry], r.pair_words)))
+            trie, answers = Trie(path), []
+            for r, z in zip(asked, ends, strict=True):
+                n = np.where(r.home, counts[at[z - len(r.words) : z]], 0).astype("<u4")
+                answers.append(_pack(n, trie.codes_of(r.words, r.entry, r.pair_words)))
             trie.close()
         finally:
             if os.path.exists(path):
@@ -365,12 +372,12 @@ def score_documents(docs: DataFrame, trains, *, shard_tokens: int = SHARD_TOKENS
     often = blocks.select(F.explode("frequent").alias("f")).groupBy("f.word").agg(F.sum("f.n").alias("n")).where(F.col("n") * HOT >= total)
     hot = np.sort(often.select("word").toArrow().column("word").to_numpy().astype(np.int64).view(np.uint64))  # at most HOT words
     sent, shards = spark.sparkContext.broadcast(hot), max(8, -(-n_tokens // shard_tokens))
-    asked = blocks.select("block", "trains", "offsets", "text").mapInArrow(_ask(sent, shards), "shard int, block long, asked binary")
+    asked = blocks.select("block", "trains", "tokens").mapInArrow(_ask(sent, shards), "shard int, block long, asked binary")
     served = asked.groupBy("shard").applyInArrow(_serve(sent, total), "block long, shard int, answer binary, distinct long")
     served = stage(served, "answers", folder)
     vocabulary = int(served.agg(F.sum("distinct")).first()[0] or 0) + (n_docs > 0)
     answers = served.groupBy("block").agg(F.collect_list(F.struct("shard", "answer")).alias("answers"))  # one row a shard
-    joined = blocks.select("block", "doc_ids", "trains", "offsets", "text").join(answers, "block")
+    joined = blocks.select("block", "doc_ids", "trains", "tokens").join(answers, "block")
     scored = joined.mapInArrow(_score(sent, shards, total, vocabulary, n_docs), "doc_id long, n_tokens long, n_known long, base_score double, score double")
     return scored.withColumn("train_tokens", F.lit(total).cast("long"))
 
