@@ -20,15 +20,15 @@ of kind ``term``, and those that disclose ``remove`` or more kind ``term_removed
 and pairs below ``support`` documents are too few to estimate from and add nothing.
 
 Plan: one native pass stores the base spans; only documents of supported entities
-are read again for terms, and one more pass counts those candidate terms in all
-documents, joined by broadcast while the counted candidates are at most
-``broadcast_rows`` and by shuffle beyond.  Counts are aggregated before shuffles.
+are read again for terms, and one more pass counts the terms of all documents.
+Counts are aggregated before shuffles.  Pairs whose term is already too frequent in
+the documents of supported entities are left out before that: they cannot pass.
 
 Defined cases: null counts as the empty text; rows are told apart by doc_id and a
 hash of their text, so repeated rows share their spans and count as one document,
 and rows of one id with different texts do not mix; a null id takes part in base
 spans only.  Where spans overlap, ``sanitise`` writes the placeholder of the first.
-Extra columns pass through ``sanitise`` (names starting with p_ are its own).
+Extra columns, whatever their names, pass through ``sanitise``.
 """
 
 from __future__ import annotations
@@ -140,7 +140,7 @@ def find_base(docs: DataFrame, folder: str) -> DataFrame:
 
 
 def disclosing_terms(
-    docs: DataFrame, base: DataFrame, folder: str, *, support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE, broadcast_rows: int = 200_000
+    docs: DataFrame, base: DataFrame, folder: str, *, support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE
 ) -> DataFrame:
     """p_doc, p_hash and p_terms (spans of disclosing terms) of the documents that hold such."""
     value = F.when(F.col("s.ord") == 0, F.lower("s.value")).when(F.col("s.ord") == 1, F.col("s.value")).otherwise(_digits(F.col("s.value")))
@@ -159,21 +159,23 @@ def disclosing_terms(
     apart = ~F.exists("p_base", lambda s: (s["start"] < F.col("end")) & (s["end"] > F.col("start")))
     words = stage(words.join(spans, ["p_doc", "p_hash"]).where(apart).drop("p_base"), "words", folder)
 
+    rows = base.where("p_doc IS NOT NULL").select("p_doc", "p_hash")
+    n_rows, n = rows.agg(F.count("*"), F.count_distinct("p_doc", "p_hash")).first()
     per_doc = words.select("p_doc", "p_hash", "term").distinct()
-    pairs = held.join(per_doc, ["p_doc", "p_hash"]).groupBy("entity", "n_e", "term").agg(F.count("*").alias("n_te")).where(F.col("n_te") >= support)
-    pairs = stage(pairs, "pairs", folder)
-    candidates = pairs.select("term").distinct()
-    n_candidates = candidates.count()
-    if not n_candidates:
+    pairs = held.join(per_doc, ["p_doc", "p_hash"]).groupBy("entity", "n_e", "term").agg(F.count("*").alias("n_te")).where((F.col("n_te") >= support) & (F.col("n_e") < n))
+    # n(t) is at least the count among these documents; a pair that fails with that fails with n(t)
+    local = per_doc.groupBy("term").agg(F.count("*").alias("n_here"))
+    most = F.col("n_te") * F.pow(F.lit(float(n)) / F.col("n_e"), F.lit(1 - generalise)) * (1 + 1e-9)
+    pairs = stage(pairs.join(local, "term").where(F.col("n_here") <= most).drop("n_here"), "pairs", folder)
+    if pairs.isEmpty():
         return words.select("p_doc", "p_hash", F.array().cast(SPAN).alias("p_terms")).limit(0)
-    if n_candidates <= broadcast_rows:
-        candidates = F.broadcast(candidates)
-    every = here.where("p_doc IS NOT NULL").select("p_doc", "p_hash", F.explode(F.array_distinct(F.split("text", rf"[\x20\x09-\x0D]+"))).alias("word"))
-    seen = every.select("p_doc", "p_hash", _term(F.col("word")).alias("term")).join(candidates, "term", "left_semi").distinct()
-    n_t = seen.groupBy("term").agg(F.count("*").alias("n_t"))
-    n = base.where("p_doc IS NOT NULL").select("p_doc", "p_hash").distinct().count()
+    every = here.where("p_doc IS NOT NULL")
+    if n_rows > n:
+        every = every.dropDuplicates(["p_doc", "p_hash"])
+    terms = F.array_distinct(F.transform(F.array_distinct(F.split("text", r"[\x20\x09-\x0D]+")), _term))
+    n_t = every.select(F.explode(terms).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
     share = F.log2(F.col("n_te") * F.lit(float(n)) / (F.col("n_t") * F.col("n_e"))) / F.log2(F.lit(float(n)) / F.col("n_e"))
-    telling = pairs.join(n_t, "term").where(F.col("n_e") < n).withColumn("share", share).where(F.col("share") >= generalise).select("entity", "term", "share")
+    telling = pairs.join(n_t, "term").withColumn("share", share).where(F.col("share") >= generalise).select("entity", "term", "share")
     worst = held.join(words, ["p_doc", "p_hash"]).join(telling, ["entity", "term"]).groupBy("p_doc", "p_hash", "start", "end", "term").agg(F.max("share").alias("share"))
     order = F.when(F.col("share") >= remove, ORDER.index("term_removed")).otherwise(ORDER.index("term"))
     span = F.struct("start", order.cast("int").alias("ord"), "end", F.col("term").alias("value"))
@@ -193,7 +195,8 @@ def sanitise(docs: DataFrame, **options) -> DataFrame:
     """docs with the spans of ``text`` replaced by placeholders; all columns stay."""
     folder = shared_folder(docs.sparkSession)
     terms = disclosing_terms(docs, find_base(docs, folder), folder, **options)
-    keyed = docs.withColumns({"p_doc": F.col("doc_id"), "p_hash": F.xxhash64(F.coalesce("text", F.lit(""))), "p_base": base_spans(F.col("text"))})
+    # the row travels as one struct, so no name of its columns can clash
+    keyed = docs.select(F.struct(*docs.columns).alias("p_row"), *_key(docs), F.coalesce("text", F.lit("")).alias("p_text"), base_spans(F.col("text")).alias("p_base"))
     joined = keyed.join(terms, ["p_doc", "p_hash"], "left").withColumn("p_spans", F.when(F.col("p_terms").isNull(), F.col("p_base")).otherwise(F.array_sort(F.concat("p_base", "p_terms"))))
     # of overlapping spans the first stands, stretched to the end of the last
     merged = F.aggregate(
@@ -205,10 +208,10 @@ def sanitise(docs: DataFrame, **options) -> DataFrame:
     )
     tags = F.array(*[F.lit("" if k == "term_removed" else f"[{k.upper()}]") for k in ORDER])
     before = lambda i: F.when(i > 0, F.get("p_merged", i - 1)["end"]).otherwise(0)
-    parts = F.transform("p_merged", lambda s, i: F.concat(F.substring("text", (before(i) + 1).cast("int"), (s["start"] - before(i)).cast("int")), F.element_at(tags, s["ord"] + 1)))
-    rest = F.substring("text", (F.element_at("p_merged", -1)["end"] + 1).cast("int"), F.length("text"))
-    clean = F.when(F.size("p_spans") == 0, F.col("text")).otherwise(F.concat(F.array_join(parts, ""), rest))
-    return joined.withColumn("p_merged", merged).withColumn("text", clean).select(*docs.columns)
+    parts = F.transform("p_merged", lambda s, i: F.concat(F.substring("p_text", (before(i) + 1).cast("int"), (s["start"] - before(i)).cast("int")), F.element_at(tags, s["ord"] + 1)))
+    rest = F.substring("p_text", (F.element_at("p_merged", -1)["end"] + 1).cast("int"), F.length("p_text"))
+    clean = F.when(F.size("p_spans") == 0, F.col("p_row.text")).otherwise(F.concat(F.array_join(parts, ""), rest))
+    return joined.withColumn("p_merged", merged).select(*[clean.alias(c) if c == "text" else F.col("p_row").getField(c).alias(c) for c in docs.columns])
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
