@@ -16,8 +16,8 @@ broadcasts it by its measured size, or splits a hot source's rows.
 
 Defined cases: null text has size 0; sources of size 0 have target 0 and their
 documents are not emitted; null is a source of its own and the last; a null
-doc_id is drawn as the text 'null'; repeated rows share one draw; extra columns
-pass through ``mix`` and are ignored by ``plan``.  An empty table gives no rows.
+doc_id is drawn as the text 'null'; repeated rows share one draw; extra columns,
+whatever their names, pass through ``mix``.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -53,12 +53,14 @@ def targets(sized: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, total: floa
 
 
 def plan(docs: DataFrame, *, seed: str = SEED, weights: tuple[int, ...] = WEIGHTS, total: float = 1.5, cap: float = 2.0) -> DataFrame:
-    """docs with m_size, m_source_size, m_target and m_copies; docs must not hold m_* columns."""
-    sized = docs.withColumn("m_size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
-    goal = targets(sized.select(F.col("source").alias("m_source"), "m_size"), weights=weights, total=total, cap=cap)
-    joined = sized.join(goal, sized["source"].eqNullSafe(goal["m_source"]), "left").drop("m_source")
+    """m_row (the document's row), m_doc, m_size, m_source_size, m_target and m_copies of every row of docs."""
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("m_size")
+    # the row travels as one struct, so no name of its columns can clash
+    sized = docs.select(F.struct(*docs.columns).alias("m_row"), F.col("doc_id").alias("m_doc"), F.col("source").alias("m_from"), size)
+    goal = targets(docs.select(F.col("source").alias("m_source"), size), weights=weights, total=total, cap=cap)
+    joined = sized.join(goal, sized["m_from"].eqNullSafe(goal["m_source"]), "left").drop("m_source", "m_from")
     rate = F.when(F.col("m_source_size") > 0, F.col("m_target") / F.col("m_source_size")).otherwise(0.0)
-    key = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
+    key = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("m_doc").cast("string"), F.lit("null")))
     draw = F.conv(F.substring(F.md5(key.cast("binary")), 1, 12), 16, 10).cast("double") / float(2**48)
     copies = F.floor(rate) + F.when(draw < rate - F.floor(rate), 1).otherwise(0)
     return joined.withColumn("m_copies", copies.cast("long"))
@@ -66,14 +68,14 @@ def plan(docs: DataFrame, *, seed: str = SEED, weights: tuple[int, ...] = WEIGHT
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The mixed corpus: the rows of docs, each as often as its source's rate asks for."""
-    repeated = plan(docs, **options).where("m_copies > 0").withColumn("m_copy", F.explode(F.sequence(F.lit(1), F.col("m_copies"))))
-    return repeated.select(*docs.columns)
+    repeated = plan(docs, **options).where("m_copies > 0").select("m_row", F.explode(F.sequence(F.lit(1), F.col("m_copies"))))
+    return repeated.select("m_row.*")
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text", "source")
     taken = (F.col("m_copies") * F.col("m_size")).alias("taken")
-    return plan(docs).select("doc_id", F.col("m_size").alias("size"), F.col("m_source_size").alias("source_size"), F.col("m_target").alias("target"), taken)
+    return plan(docs).select(F.col("m_doc").alias("doc_id"), F.col("m_size").alias("size"), F.col("m_source_size").alias("source_size"), F.col("m_target").alias("target"), taken)
 
 
 ORACLE = r"""
