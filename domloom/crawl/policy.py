@@ -32,8 +32,8 @@ def retries(done: DataFrame, *, max_retries: int = MAX_RETRIES, blocked: Column
 
 def with_session(reqs: DataFrame, sessions: DataFrame) -> DataFrame:
     """Requests without a session id get the default one; ``known`` tells whether the session exists."""
-    default = sessions.where("is_default").agg(F.min("sid").alias("_default"))
-    named = reqs.crossJoin(F.broadcast(default)).withColumn("sid", F.coalesce(F.nullif("sid", F.lit("")), "_default")).drop("_default")  # one row: an aggregate
+    default = sessions.where("is_default").agg(F.min("sid")).first()[0]
+    named = reqs.withColumn("sid", F.coalesce(F.nullif("sid", F.lit("")), F.lit(default)))
     return named.join(sessions.select("sid", F.lit(True).alias("known")), "sid", "left").withColumn("known", F.coalesce("known", F.lit(False)))
 
 

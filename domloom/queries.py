@@ -474,10 +474,11 @@ def relocate_ad_block(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def similarity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first page's heading against every page's heading."""
-    found = similarity.fingerprints(spread(pages(spark, sf_dir)), "h1")
-    one = found.orderBy("page_id").limit(1).select(F.col("fingerprint").alias("stored"))
-    return found.crossJoin(F.broadcast(one)).select("page_id", similarity.score_pairs("stored", "fingerprint").alias("score"))  # one row is broadcast
+    """Every page's heading against that of its host's first page; no SQL form, tested against difflib."""
+    p = spread(pages(spark, sf_dir))
+    found = similarity.fingerprints(p, "h1").join(p.select("page_id", urls.domain("url").alias("host")), "page_id")
+    first = found.groupBy("host").agg(F.min_by("fingerprint", "page_id").alias("stored"))
+    return found.join(first, "host").select("page_id", "host", similarity.score_pairs("stored", "fingerprint").alias("score"))
 
 
 @query("SELECT n_regionkey, CASE WHEN count(DISTINCT n_name) = 1 THEN min(n_name) ELSE 'NATION_\\d+' END AS regex FROM nation GROUP BY 1")
@@ -538,6 +539,19 @@ def next_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _fixture(spark).select("page_id", pagination.next_page().alias("next_page"))
 
 
+_NEXT = ", ".join(f"min_by(href, seq) FILTER (contains(lower({_decoded('anchor')}), '{w}'))" for w in pagination.WORDS)
+
+
+@query(
+    f"""WITH l AS (SELECT h.page_id, h.seq, {_decoded('h.href')} AS href, a.anchor FROM ({_LINKS}) h JOIN ({_ANCHORS}) a ON a.page_id = h.page_id AND a.seq = h.seq),
+    n AS (SELECT page_id, coalesce({_NEXT}) AS href FROM l GROUP BY 1)
+    SELECT p.page_id, regexp_extract(p.url, '^([a-z]+://[^/?#]+)', 1) || n.href AS next_page FROM pages p LEFT JOIN n ON n.page_id = p.page_id"""
+)
+def next_page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """On the page corpus only the third tier, words in link texts, can give an address."""
+    return spread(pages(spark, sf_dir)).select("page_id", pagination.next_page().alias("next_page"))
+
+
 @query("SELECT * FROM (VALUES (CAST(4 AS BIGINT), 'https://s.example/l3')) t(page_id, link)")
 def all_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _fixture(spark).select("page_id", F.explode(pagination.all_pages()).alias("link"))

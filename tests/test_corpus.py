@@ -308,3 +308,25 @@ def test_sinks(spark, tmp_path, shop):
     for bad in ("x.pdf", " ", "x"):
         with pytest.raises(ValueError):
             files.write_content(shop, bad)
+
+
+def test_sql_functions(spark, shop):
+    from domloom.sources.sql import register
+
+    register(spark)
+    shop.where("html IS NOT NULL").createOrReplaceTempView("shop")
+    assert spark.sql("SELECT count(*) AS n FROM shop p, LATERAL dom_nodes(p.html) n WHERE n.tag = 'article'").first().n == 3
+    assert spark.sql("SELECT t.text FROM shop p, LATERAL dom_text(p.html) t WHERE p.page_id = 2 AND t.seq = 0").first().text == "First"
+    r = spark.sql("SELECT css_all(html, 'h3::text') AS a, css_first(html, 'title::text') AS b, xpath_all(html, '//li[2]/a/@href') AS c, url_join(url, '../x') AS d FROM shop WHERE page_id = 1").first()
+    assert (r.a[0], r.b, r.c, r.d) == ("Product 1", "Shop", ["#about"], "https://shop.example/x")
+    assert spark.sql("SELECT html_text('<p>a<p>b') AS t, html_pretty('<p>a') AS p, url_canonical('HTTP://A.example') AS u, url_site('http://x.b.co.uk') AS s").first()[:] == ("a\nb", "<html>\n  <body>\n    <p>a</p>\n  </body>\n</html>", "http://a.example/", "b.co.uk")
+
+
+def test_similarity_scores_against_difflib(spark, sf):
+    got = {r.page_id: (r.host, r.score) for r in queries.similarity_scores(spark, sf).collect()}
+    held = {r.page_id: tree_of(r.html) for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
+    prints = {i: similarity.fingerprint_of(t, t.by_tag["h1"][0]) for i, t in held.items()}
+    first: dict[str, int] = {}
+    for i in sorted(got):
+        first.setdefault(got[i][0], i)
+    assert {i: s for i, (_, s) in got.items()} == {i: similarity.similarity(prints[first[h]], prints[i]) for i, (h, _) in got.items()}
