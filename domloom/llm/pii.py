@@ -57,7 +57,9 @@ def located(text: Column, pattern: str) -> Column:
     """All matches as (start, end, value), in order."""
     found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
     zero = F.lit(0).cast("long")
-    both = F.transform(found, lambda m, i: F.struct(F.length(F.get(gaps, i)).cast("long").alias("gap"), F.length(m).cast("long").alias("n"), m.alias("value")))
+    # zipped, since what stands inside a lambda is computed for every element; the last gap has no match
+    pairs = F.filter(F.arrays_zip(found, gaps), lambda z: z.getField("0").isNotNull())
+    both = F.transform(pairs, lambda z: F.struct(F.length(z.getField("1")).cast("long").alias("gap"), F.length(z.getField("0")).cast("long").alias("n"), z.getField("0").alias("value")))
 
     def place(w: Column) -> Column:
         size = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(w)))).cast("int")
