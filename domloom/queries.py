@@ -45,8 +45,9 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """A page table over all cores: its files are few, parsing is work."""
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+    """A small page table over all cores, since parsing is work; a table of more partitions than cores is read as it lies."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
 def strings(spark: SparkSession, sf_dir: str, **selectors) -> DataFrame:
