@@ -40,7 +40,7 @@ _ASCII_LETTER[[*range(65, 91), *range(97, 123)]] = True
 def spans(block: tb.Block) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the block's words, a closing stop or comma apart."""
     data, starts, ends = block.data, block.starts, block.ends
-    last, before, lead = data[ends - 1], data[ends - 2], data[ends - 3]  # a word too short is ruled out below
+    last, before, lead = (data[np.maximum(ends - k, 0)] for k in (1, 2, 3))  # a word too short is ruled out below
     long = ends - starts
     latin = (lead == 0xC3) & (before >= 0x80) & (before != 0x97) & (before != 0xB7) & (long > 2)
     cut = ((last == 0x2E) | (last == 0x2C)) & (long > 1) & (_ASCII_LETTER[before] | latin)
