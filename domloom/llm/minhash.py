@@ -249,22 +249,30 @@ def _in_blocks(nodes: DataFrame, texts: DataFrame, k: int, percent: int, folder:
     return stage(met, "links-blocks", folder)
 
 
-def near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every row of docs."""
-    folder = shared_folder(docs.sparkSession)
-    described = docs.select("doc_id", "text").mapInArrow(_describe(k, bands, rows), "doc_id long, n_shingles long, node long, bands array<long>")
-    table = stage(described, "sets", folder)
-    filled = table.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    nodes = stage(filled.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n")), "nodes", folder)
-    banded = filled.join(nodes.select("node", "doc_id"), ["node", "doc_id"], "left_semi").select("node", F.explode("bands").alias("bucket"))
-    shared = banded.groupBy("bucket").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where("leader <> last").select("bucket", "leader")
-    members = stage(banded.join(shared, "bucket").distinct(), "members", folder)
+def _the_rest(left: DataFrame, asked: list[DataFrame], fits, links: Callable, texts: DataFrame, k: int, percent: int, folder: str) -> DataFrame:
+    """Links among nodes (bucket, node, root, n) of one bucket that still stand in different components."""
+    sized = left.groupBy("bucket").agg(F.count("*").alias("m"), F.min("node").alias("head"))
+    left = stage(left.join(sized, "bucket"), "left-sized", folder)
+    x, y = (left.where(F.col("m") <= FEW).select("bucket", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "root", "n")]) for s in "ab")
+    rest = x.join(y, "bucket").where("root_a < root_b").where(fits).select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
+    for before in asked:
+        rest = rest.join(before.select("a", "b"), ["a", "b"], "left_anti")
+    found = links(stage(rest, "asked-3", folder), "links-3")
+    many = left.where(F.col("m") > FEW)
+    if many.isEmpty():
+        return found
+    group = connected(many.select(F.col("head").alias("a"), F.col("node").alias("b")).where("a <> b"), folder, "groups").select("node", F.col("root").alias("g"))
+    return found.unionAll(_in_blocks(many.select("node", "root", "n").distinct().join(group, "node"), texts, k, percent, folder))
+
+
+def _roots(docs: DataFrame, nodes: DataFrame, members: DataFrame, k: int, percent: int, folder: str) -> DataFrame:
+    """(node, root) of the nodes that link to another; members: (bucket, node, leader)."""
     some = members.select("node").distinct()
     texts = stage(docs.select("doc_id", "text").join(nodes.join(some, "node", "left_semi").select("node", "doc_id"), "doc_id").select("node", "text"), "texts", folder)
 
     def links(pairs: DataFrame, name: str) -> DataFrame:
         a, b = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-        return stage(pairs.join(b, "b").join(a, "a").select("a", "b", "text_a", "text_b").mapInArrow(_confirm(k, percent), "a long, b long"), name, folder)
+        return stage(pairs.join(b, "b").join(a, "a").select("a", "b", "text_a", "text_b").mapInArrow(tb.tidy(_confirm(k, percent)), "a long, b long"), name, folder)
 
     # first round: everyone against the least node of the bucket
     asked = stage(members.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), "asked-1", folder)
@@ -278,36 +286,42 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 80, bands: in
         mixed = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket")
         return stage(placed.join(mixed, "bucket", "left_semi").join(nodes.select("node", "n"), "node"), name, folder)
 
-    # a pair below the size ratio cannot reach the similarity
-    fits = F.lit(percent) * F.greatest("n_a", "n_b") <= 100 * F.least("n_a", "n_b")
-
-    # second round: another leader in every bucket
     left = unsettled(roots, "left-1")
-    other = left.groupBy("bucket").agg(F.min_by(F.struct("node", "root", "n"), F.xxhash64("node", "bucket")).alias("l"))
-    led = left.join(other, "bucket").where("root <> l.root").select("node", F.col("l.node").alias("leader"), F.col("n").alias("n_a"), F.col("l.n").alias("n_b")).where(fits)
-    pair = [F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")]
-    again = stage(led.select(*pair).distinct().join(asked.select("a", "b"), ["a", "b"], "left_anti"), "asked-2", folder)
-    found = found.unionAll(links(again, "links-2"))
-    roots = connected(found, folder, "round-2")
-
-    # the rest: nodes of one bucket that still stand in different components
-    left = unsettled(roots, "left-2")
-    sized = left.groupBy("bucket").agg(F.count("*").alias("m"), F.min("node").alias("head"))
-    left = stage(left.join(sized, "bucket"), "left-sized", folder)
-    x, y = (left.where(F.col("m") <= FEW).select("bucket", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "root", "n")]) for s in "ab")
-    rest = x.join(y, "bucket").where("root_a < root_b").where(fits).select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
-    rest = stage(rest.join(asked.select("a", "b"), ["a", "b"], "left_anti").join(again.select("a", "b"), ["a", "b"], "left_anti"), "asked-3", folder)
-    found = found.unionAll(links(rest, "links-3"))
-    many = left.where(F.col("m") > FEW)
-    if not many.isEmpty():
-        group = connected(many.select(F.col("head").alias("a"), F.col("node").alias("b")).where("a <> b"), folder, "groups").select("node", F.col("root").alias("g"))
-        found = found.unionAll(_in_blocks(many.select("node", "root", "n").distinct().join(group, "node"), texts, k, percent, folder))
-    roots = connected(found, folder, "round-3")
-
-    grouped = nodes.join(roots, "node")
-    least = grouped.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    known = nodes.select("node", "doc_id").join(grouped.select("node", "root").join(least, "root").select("node", "component_id"), "node", "left")
-    component = known.select("node", F.coalesce("component_id", "doc_id").alias("component"))
+    if not left.isEmpty():
+        # second round: another leader in every bucket; a pair below the size ratio cannot reach the similarity
+        fits = F.lit(percent) * F.greatest("n_a", "n_b") <= 100 * F.least("n_a", "n_b")
+        other = left.groupBy("bucket").agg(F.min_by(F.struct("node", "root", "n"), F.xxhash64("node", "bucket")).alias("l"))
+        led = left.join(other, "bucket").where("root <> l.root").select("node", F.col("l.node").alias("leader"), F.col("n").alias("n_a"), F.col("l.n").alias("n_b")).where(fits)
+        pair = [F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")]
+        again = stage(led.select(*pair).distinct().join(asked.select("a", "b"), ["a", "b"], "left_anti"), "asked-2", folder)
+        more = links(again, "links-2")
+        if not more.isEmpty():
+            found = found.unionAll(more)
+            roots = connected(found, folder, "round-2")
+            left = unsettled(roots, "left-2")
+        found = found.unionAll(_the_rest(left, [asked, again], fits, links, texts, k, percent, folder))
+        roots = connected(found, folder, "round-3")
+    return roots
+
+
+def near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) of every row of docs."""
+    folder = shared_folder(docs.sparkSession)
+    described = docs.select("doc_id", "text").mapInArrow(tb.tidy(_describe(k, bands, rows)), "doc_id long, n_shingles long, node long, bands array<long>")
+    table = stage(described, "sets", folder)
+    filled = table.where("n_shingles > 0 AND doc_id IS NOT NULL")
+    nodes = stage(filled.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n")), "nodes", folder)
+    banded = filled.join(nodes.select("node", "doc_id"), ["node", "doc_id"], "left_semi").select("node", F.explode("bands").alias("bucket"))
+    shared = banded.groupBy("bucket").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where("leader <> last").select("bucket", "leader")
+    members = stage(banded.join(shared, "bucket").distinct(), "members", folder)
+    if members.isEmpty():  # no two sets are alike
+        component = nodes.select("node", F.col("doc_id").alias("component"))
+    else:
+        roots = _roots(docs, nodes, members, k, percent, folder)
+        grouped = nodes.join(roots, "node")
+        least = grouped.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+        known = nodes.select("node", "doc_id").join(grouped.select("node", "root").join(least, "root").select("node", "component_id"), "node", "left")
+        component = known.select("node", F.coalesce("component_id", "doc_id").alias("component"))
     out = table.select("doc_id", "n_shingles", "node").join(component, "node", "left")
     own = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
     out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), own).alias("component_id"))
