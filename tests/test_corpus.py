@@ -330,3 +330,24 @@ def test_similarity_scores_against_difflib(spark, sf):
     for i in sorted(got):
         first.setdefault(got[i][0], i)
     assert {i: s for i, (_, s) in got.items()} == {i: similarity.similarity(prints[first[h]], prints[i]) for i, (h, _) in got.items()}
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_plans(spark, sf):
+    """Known selectors shuffle nothing, node plans join on page_id, filters and columns reach the scan."""
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    fused = _plan(pages.select("page_id", select("html", t="title::text").alias("s")))
+    assert "Exchange" not in fused and "url" not in fused.split("ReadSchema")[1]
+    table = parse_pages(pages)
+    for selector in ("ul > li > a", "nav a", "h1 + p", "div:not(:has(p))"):
+        plan = _plan(relational.css(table, selector))
+        assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+    plan = _plan(queries.offsite_filter(spark, sf))
+    assert "Python" not in plan and "o_comment" not in plan
+    wave = _plan(queries.domain_wave_cap(spark, sf))
+    assert "WindowGroupLimit" in wave  # ranks are cut before the shuffle
+    top = _plan(queries.frontier_topk(spark, sf))
+    assert "TakeOrderedAndProject" in top
