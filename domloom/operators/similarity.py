@@ -149,20 +149,27 @@ def alike(own: dict[str, str], other: dict[str, str], own_text: str, other_text:
     return bool(checks) and round(score / checks, 2) >= threshold
 
 
-def find_similar(nodes: DataFrame, context: DataFrame, *, ignore: tuple[str, ...] = ("href", "src"), threshold: float = 0.2, match_text: bool = False) -> DataFrame:
+def find_similar(nodes: DataFrame, context: DataFrame | Column, *, ignore: tuple[str, ...] = ("href", "src"), threshold: float = 0.2, match_text: bool = False) -> DataFrame:
     """(page_id, c_pre, pre): for each row of context the elements at its depth, with its tag, parent and grandparent tags, and like attributes.
 
+    context is a table of nodes, or a condition on nodes (which saves a join).  With a
+    ``path`` column the tags above come from it, else from two joins on page_id.
     Candidates come from one equi-join on (page, depth, the three tags).  Where the
     rows that score have equal attributes (and text does not count) the JVM decides;
     the Python score runs on the rest.
     """
-    up = nodes.select(F.col("page_id").alias("u_page"), F.col("pre").alias("u_pre"), F.col("tag").alias("p_tag"), F.col("parent").alias("p_parent"))
-    top = nodes.select(F.col("page_id").alias("g_page"), F.col("pre").alias("g_pre"), F.col("tag").alias("g_tag"))
-    keyed = nodes.join(up, (F.col("page_id") == F.col("u_page")) & (F.col("parent") == F.col("u_pre")), "left").join(top, (F.col("page_id") == F.col("g_page")) & (F.col("p_parent") == F.col("g_pre")), "left")
+    if "path" in nodes.columns:
+        keyed = nodes.withColumns({"p_tag": F.try_element_at("path", F.lit(-2)), "g_tag": F.try_element_at("path", F.lit(-3))})
+    else:
+        up = nodes.select(F.col("page_id").alias("u_page"), F.col("pre").alias("u_pre"), F.col("tag").alias("p_tag"), F.col("parent").alias("p_parent"))
+        top = nodes.select(F.col("page_id").alias("g_page"), F.col("pre").alias("g_pre"), F.col("tag").alias("g_tag"))
+        keyed = nodes.join(up, (F.col("page_id") == F.col("u_page")) & (F.col("parent") == F.col("u_pre")), "left").join(top, (F.col("page_id") == F.col("g_page")) & (F.col("p_parent") == F.col("g_pre")), "left")
     keep = lambda c: F.map_filter(c, lambda k, v: ~k.isin(*ignore)) if ignore else c
-    row = keyed.select("page_id", "pre", "level", "tag", F.coalesce("p_tag", F.lit("")).alias("p_tag"), F.coalesce("g_tag", F.lit("")).alias("g_tag"), F.map_entries(keep(F.col("attrs"))).alias("attrs"), F.coalesce("text", F.lit("")).alias("text"))
+    shaped = ["page_id", "pre", "level", "tag", F.coalesce("p_tag", F.lit("")).alias("p_tag"), F.coalesce("g_tag", F.lit("")).alias("g_tag"), F.map_entries(keep(F.col("attrs"))).alias("attrs"), F.coalesce("text", F.lit("")).alias("text")]
     keys = ["page_id", "level", "tag", "p_tag", "g_tag"]
-    starts = row.join(context.select("page_id", "pre"), ["page_id", "pre"], "left_semi").select(*keys, F.col("pre").alias("c_pre"), F.col("attrs").alias("c_attrs"), F.col("text").alias("c_text"))
+    row = keyed.select(*shaped)
+    chosen = keyed.where(context).select(*shaped) if isinstance(context, Column) else row.join(context.select("page_id", "pre"), ["page_id", "pre"], "left_semi")
+    starts = chosen.select(*keys, F.col("pre").alias("c_pre"), F.col("attrs").alias("c_attrs"), F.col("text").alias("c_text"))
     pairs = starts.join(row, keys).where(F.col("pre") != F.col("c_pre"))
     kind = pa.bool_()
 

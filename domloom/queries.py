@@ -446,8 +446,8 @@ def numbers_from_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT page_id, CAST(n * (n - 1) AS BIGINT) AS pairs FROM (SELECT page_id, len(regexp_extract_all(html, '<li><a href=')) AS n FROM pages) WHERE n > 1")
 def find_similar_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = parse_pages(spread(pages(spark, sf_dir)), want=["level", "parent", "tag", "attrs", "text"])
-    return similarity.find_similar(nodes, nodes.where("tag = 'a'")).groupBy("page_id").agg(F.count("*").alias("pairs"))
+    nodes = parse_pages(spread(pages(spark, sf_dir)), want=["level", "tag", "attrs", "text", "path"], tags=["a"])
+    return similarity.find_similar(nodes, F.col("tag") == "a").groupBy("page_id").agg(F.count("*").alias("pairs"))
 
 
 @query("SELECT page_id, CAST(1.0 AS DOUBLE) AS link_link, CAST(0.0 AS DOUBLE) AS link_div FROM pages")

@@ -142,6 +142,8 @@ def test_similar(spark, nodes):
     assert similarity.find_similar(one, first).count() == 2
     review = one.where(F.element_at("attrs", "data-rating") == "5")
     assert similarity.find_similar(one, review).count() == 1
+    with_path = parse_pages(spark.createDataFrame([(1, PRODUCTS)], "page_id long, html string"), want=["level", "tag", "attrs", "text", "path"])
+    assert similarity.find_similar(with_path, F.element_at("attrs", "data-id") == "1").count() == 2
     a = {"tag": "p", "attr_names": ["id"], "attr_values": ["x"], "text": "hello", "path": ["html", "body", "p"], "parent_name": "body", "parent_attr_names": [], "parent_attr_values": [], "parent_text": None, "siblings": ["p"], "children": None}
     assert similarity.similarity(a, a) == 100.0
     b = a | {"parent_name": None, "text": None, "siblings": None}
