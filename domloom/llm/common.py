@@ -13,10 +13,14 @@ from pyspark.sql import functions as F
 SPACE = r"\x20\x09-\x0D"
 WORD = f"[^{SPACE}]+"
 
+#: Documents are long rows: so many of them at most go to a Python worker at once.
+BATCH_ROWS = 1500
+
 _scratch: dict[int, str] = {}
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    few_rows_a_batch(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
@@ -50,5 +54,13 @@ def stage(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
     """Write a table to the shared folder and read it again: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{folder or shared_folder(spark)}/{name}"
+    few_rows_a_batch(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def few_rows_a_batch(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to BATCH_ROWS rows if they are larger: Spark counts them in rows, not bytes, by default."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))

@@ -146,12 +146,25 @@ def tokens_of(block: tb.Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return words, ids[: len(tokens)], n
 
 
+def gathered(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """Batches put together until they hold about so many bytes."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.nbytes
+        if n >= size:
+            yield pa.concat_batches(held)
+            held, n = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def make_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
     part, seq = TaskContext.get().partitionId(), 0
-    for batch in batches:
-        for block in tb.blocks(batch.column("text"), BLOCK_BYTES):
+    for batch in gathered(batches, BLOCK_BYTES):
+        for block in tb.blocks(batch.column("text"), 2 * BLOCK_BYTES):
             some = batch.slice(block.first, len(block))
             trains = some.column("trains").to_numpy(zero_copy_only=False).astype(bool)
             words, token, n = tokens_of(block)

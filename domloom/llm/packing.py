@@ -43,7 +43,7 @@ def _packer(path: str, end_id: int, longest: int, with_ids: bool) -> Callable:
         words, part, used = encoder(path, end_id), TaskContext.get().partitionId(), dict.fromkeys((1 << b for b in range(longest.bit_length())), 0)
         wide = 2 if len(words.closes) <= 1 << 16 else 4
         for batch in batches:
-            for block in tb.blocks(batch.column("text"), 3 << 20):
+            for block in tb.blocks(batch.column("text"), 1 << 21):
                 ids, offsets = words.encode(block)
                 view = memoryview(np.ascontiguousarray(ids, "<u4")).cast("B")
                 doc, start, length, crc, place, bounds = [], [], [], [], [], []
@@ -78,7 +78,7 @@ def _packer(path: str, end_id: int, longest: int, with_ids: bool) -> Callable:
 def pack(docs: DataFrame, *, path: str | None = None, end_id: int = 1, longest: int = LENGTH, with_ids: bool = False) -> DataFrame:
     """One row per piece; with_ids adds the ids, little-endian and unsigned, of 2 bytes if the vocabulary fits, else of 4."""
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, part int, place long" + ", ids binary" * with_ids
-    pieces = stage(docs.select("doc_id", "text").mapInArrow(_packer(path or tokenizer_path(), end_id, longest, with_ids), schema), "pieces")
+    pieces = stage(docs.select("doc_id", "text").mapInArrow(tb.tidy(_packer(path or tokenizer_path(), end_id, longest, with_ids)), schema), "pieces")
     counts = pieces.groupBy("length", "part").agg(F.count("*").alias("n"))
     first = counts.select("length", "part", (F.sum("n").over(W.orderBy(F.desc("length"), "part")) - F.col("n")).alias("first"))
     numbered = pieces.join(first, ["length", "part"])

@@ -83,10 +83,19 @@ class Block:
         return self.data[self.starts[word] : self.ends[word]].tobytes()
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of non-empty, disjoint, ascending spans of bytes."""
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, chunk: int = 1 << 18) -> np.ndarray:
+    """64-bit hashes of non-empty, disjoint, ascending spans of bytes.
+
+    The work takes some 50 bytes a byte of text, so it goes in chunks of spans.
+    """
     if not len(starts):
         return np.zeros(0, np.uint64)
+    total = np.cumsum(ends - starts)
+    cuts = np.unique(np.concatenate(([0], np.searchsorted(total, np.arange(chunk, total[-1], chunk)), [len(starts)])))
+    return np.concatenate([_span_hashes(data, starts[i:j], ends[i:j]) for i, j in zip(cuts[:-1], cuts[1:], strict=True)])
+
+
+def _span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     lens = ends - starts
     at = np.concatenate(([0], np.cumsum(lens)[:-1]))
     where = np.arange(int(lens.sum())) - np.repeat(at, lens)

@@ -49,7 +49,7 @@ def spans(block: tb.Block) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Encoder:
-    def __init__(self, path: str, end_id: int, limit: int = 1_000_000) -> None:
+    def __init__(self, path: str, end_id: int, limit: int = 800_000) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -109,7 +109,7 @@ class Encoder:
         hashes = tb.span_hashes(tb._LOWER[block.data], starts, ends)
         odd = np.zeros(256, bool)
         odd[0x80:] = odd[ord("<")] = True
-        total = np.concatenate(([0], np.cumsum(odd[block.data], dtype=np.int64)))
+        total = np.concatenate(([0], np.cumsum(odd[block.data], dtype=np.int32)))
         cased = total[ends] != total[starts]
         hashes[cased] = tb.span_hashes(block.data, starts[cased], ends[cased])
         hashes, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)

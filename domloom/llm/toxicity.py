@@ -215,7 +215,7 @@ def _scorer(model) -> Callable:
 
 def score_all(docs: DataFrame, model: Model | None) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.select("doc_id", F.col("lang").cast("string").alias("lang"), "text").mapInArrow(_scorer(sent), "doc_id long, lang string, score double")
+    return docs.select("doc_id", F.col("lang").cast("string").alias("lang"), "text").mapInArrow(tb.tidy(_scorer(sent)), "doc_id long, lang string, score double")
 
 
 def thresholds(scored: DataFrame, trains: DataFrame, *, least_toxic: int = 20) -> DataFrame:
@@ -258,7 +258,7 @@ def drop_toxic(docs: DataFrame, trains: DataFrame) -> DataFrame:
             limit = np.array([by_lang.get(x, 0.5) for x in batch.column("lang").to_pylist()])
             yield batch.filter(pa.array(scores(model, batch.column("text")) < limit))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(tb.tidy(keep), docs.schema)
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
