@@ -11,18 +11,22 @@ The method is information-theoretic sanitisation.  The values found are the
 protected entities e; the other words of their documents are the terms t.  Over
 the whole corpus, with n(e), n(t) and n(t, e) counted in documents,
 
-    PMI(t; e) = log2(n(t, e) N / (n(t) n(e))),    IC(e) = log2(N / n(e)),
+    P(e | t) = (n(t, e) + a n(e) / N) / (n(t) + a),
+    PMI(t; e) = log2(P(e | t) N / n(e)),    IC(e) = log2(N / n(e)),
 
-and the share PMI / IC of an entity's information is what the term discloses.  In
+and the share PMI / IC of an entity's information is what the term discloses.  The
+``prior`` of a documents (one) in which the term tells nothing shrinks what small
+counts say instead of leaving them out: most personal data is held by one document.  In
 documents that hold e, terms that disclose ``generalise`` of it or more become spans
 of kind ``term``, and those that disclose ``remove`` or more kind ``term_removed``;
-``sanitise`` writes a placeholder for the first and nothing for the second.  Entities
-and pairs below ``support`` documents are too few to estimate from and add nothing.
+``sanitise`` writes a placeholder for the first and nothing for the second.
 
-Plan: one native pass stores the base spans; only documents of supported entities
-are read again for terms, and one more pass counts the terms of all documents.
-Counts are aggregated before shuffles.  Pairs whose term is already too frequent in
-the documents of supported entities are left out before that: they cannot pass.
+Plan: one native pass stores the base spans; only documents with entities are read
+again for terms, and one more pass counts the terms of all documents.  Entities of the
+same documents have the same counts, so they are taken as one, told apart by n(e) and
+128 bits of hashes of the documents.  Counts are aggregated before shuffles.  Terms
+already too frequent in the documents with entities to pass for any of them are left
+out before that, by a list of at most ``HOT`` terms.
 
 Defined cases: null counts as the empty text; rows are told apart by doc_id and a
 hash of their text, so repeated rows share their spans and count as one document,
@@ -50,7 +54,8 @@ HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "ph
 ORDER = [*KINDS, "term", "term_removed"]
 EDGE = ".,;:!?\"'()[]{}<>*#$%&|~"
 SPAN = "array<struct<start:bigint,ord:int,end:bigint,value:string>>"
-SUPPORT, GENERALISE, REMOVE = 5, 0.85, 0.97
+PRIOR, GENERALISE, REMOVE = 1.0, 0.85, 0.97
+HOT = 2**17
 
 
 def located(text: Column, pattern: str) -> Column:
@@ -142,41 +147,49 @@ def find_base(docs: DataFrame, folder: str) -> DataFrame:
 
 
 def disclosing_terms(
-    docs: DataFrame, base: DataFrame, folder: str, *, support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE
+    docs: DataFrame, base: DataFrame, folder: str, *, prior: float = PRIOR, generalise: float = GENERALISE, remove: float = REMOVE
 ) -> DataFrame:
     """p_doc, p_hash and p_terms (spans of disclosing terms) of the documents that hold such."""
     value = F.when(F.col("s.ord") == 0, F.lower("s.value")).when(F.col("s.ord") == 1, F.col("s.value")).otherwise(_digits(F.col("s.value")))
     held = base.where("size(p_base) > 0 AND p_doc IS NOT NULL").select("p_doc", "p_hash", F.explode("p_base").alias("s"))
     held = held.select("p_doc", "p_hash", F.concat(F.col("s.ord").cast("string"), F.lit(":"), value).alias("entity")).distinct()
-    entities = held.groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= support)
-    held = stage(held.join(entities, "entity"), "entities", folder)
-    asked = held.select("p_doc", "p_hash").distinct()
+    marks = [F.bit_xor(F.xxhash64(F.lit(k), "p_doc", "p_hash")).alias(f"mark_{k}") for k in (1, 2)]
+    groups = held.groupBy("entity").agg(F.count("*").alias("n_e"), *marks)
+    held = held.join(groups, "entity").select("p_doc", "p_hash", "n_e", F.struct("n_e", "mark_1", "mark_2").alias("entity"))
+    held = stage(held.distinct(), "entities", folder)
 
-    here = docs.select(*_key(docs), F.coalesce("text", F.lit("")).alias("text"))
-    near = here.join(asked, ["p_doc", "p_hash"], "left_semi").dropDuplicates(["p_doc", "p_hash"])
-    words = near.select("p_doc", "p_hash", F.explode(located(F.col("text"), WORD)).alias("w")).withColumn("term", _term(F.col("w.value")))
+    rows = base.where("p_doc IS NOT NULL").select("p_doc", "p_hash")
+    n_rows, n = rows.agg(F.count("*"), F.count_distinct("p_doc", "p_hash")).first()
+    here = docs.select(*_key(docs), F.coalesce("text", F.lit("")).alias("text")).where("p_doc IS NOT NULL")
+    # the spans are found again: a join would shuffle the texts of all documents
+    near = here.withColumn("p_base", base_spans(F.col("text"))).where("size(p_base) > 0")
+    if n_rows > n:
+        near = near.dropDuplicates(["p_doc", "p_hash"])
+    words = near.select("p_doc", "p_hash", "p_base", F.explode(located(F.col("text"), WORD)).alias("w")).withColumn("term", _term(F.col("w.value")))
     begin = F.col("w.start") + F.length("w.value") - F.length(F.ltrim("w.value", F.lit(EDGE)))
-    words = words.where(F.length("term") >= 3).select("p_doc", "p_hash", "term", begin.alias("start"), (begin + F.length("term")).alias("end"))
-    spans = base.select("p_doc", "p_hash", "p_base").join(asked, ["p_doc", "p_hash"], "left_semi").dropDuplicates(["p_doc", "p_hash"])
+    words = words.where(F.length("term") >= 3).select("p_doc", "p_hash", "p_base", "term", begin.alias("start"), (begin + F.length("term")).alias("end"))
     apart = ~F.exists("p_base", lambda s: (s["start"] < F.col("end")) & (s["end"] > F.col("start")))
-    words = stage(words.join(spans, ["p_doc", "p_hash"]).where(apart).drop("p_base"), "words", folder)
+    words = stage(words.where(apart).drop("p_base"), "words", folder)
 
-    rows = base.where("p_doc IS NOT NULL").select("p_doc", "p_hash")
-    n_rows, n = rows.agg(F.count("*"), F.count_distinct("p_doc", "p_hash")).first()
+    # n(t) is at least the count among these documents, n(t, e) at most n(e): a term above what any entity allows cannot pass
+    seen = lambda n_te: n_te + prior * F.col("n_e") / F.lit(float(n))
+    most = lambda n_te: seen(n_te) * F.pow(F.lit(float(n)) / F.col("n_e"), F.lit(1 - generalise)) * (1 + 1e-9) - prior
+    limit = held.agg(F.max(most(F.col("n_e")))).first()[0]
+    if limit is None:
+        return words.select("p_doc", "p_hash", F.array().cast(SPAN).alias("p_terms")).limit(0)
+    local = words.groupBy("term").agg(F.count_distinct("p_doc", "p_hash").alias("n_here"))
+    # at most HOT terms are sent; the others go the longer way
+    hot = local.where(F.col("n_here") > max(limit, words.count() / HOT)).select("term")
+    words = words.join(F.broadcast(hot), "term", "left_anti")
     per_doc = words.select("p_doc", "p_hash", "term").distinct()
-    pairs = held.join(per_doc, ["p_doc", "p_hash"]).groupBy("entity", "n_e", "term").agg(F.count("*").alias("n_te")).where((F.col("n_te") >= support) & (F.col("n_e") < n))
-    # n(t) is at least the count among these documents; a pair that fails with that fails with n(t)
-    local = per_doc.groupBy("term").agg(F.count("*").alias("n_here"))
-    most = F.col("n_te") * F.pow(F.lit(float(n)) / F.col("n_e"), F.lit(1 - generalise)) * (1 + 1e-9)
-    pairs = stage(pairs.join(local, "term").where(F.col("n_here") <= most).drop("n_here"), "pairs", folder)
+    pairs = held.join(per_doc, ["p_doc", "p_hash"]).groupBy("entity", "n_e", "term").agg(F.count("*").alias("n_te")).where(F.col("n_e") < n)
+    pairs = stage(pairs, "pairs", folder)
     if pairs.isEmpty():
         return words.select("p_doc", "p_hash", F.array().cast(SPAN).alias("p_terms")).limit(0)
-    every = here.where("p_doc IS NOT NULL")
-    if n_rows > n:
-        every = every.dropDuplicates(["p_doc", "p_hash"])
+    every = here.dropDuplicates(["p_doc", "p_hash"]) if n_rows > n else here
     terms = F.array_distinct(F.transform(F.array_distinct(F.split("text", r"[\x20\x09-\x0D]+")), _term))
     n_t = every.select(F.explode(terms).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
-    share = F.log2(F.col("n_te") * F.lit(float(n)) / (F.col("n_t") * F.col("n_e"))) / F.log2(F.lit(float(n)) / F.col("n_e"))
+    share = F.log2(seen(F.col("n_te")) * F.lit(float(n)) / ((F.col("n_t") + prior) * F.col("n_e"))) / F.log2(F.lit(float(n)) / F.col("n_e"))
     telling = pairs.join(n_t, "term").withColumn("share", share).where(F.col("share") >= generalise).select("entity", "term", "share")
     worst = held.join(words, ["p_doc", "p_hash"]).join(telling, ["entity", "term"]).groupBy("p_doc", "p_hash", "start", "end", "term").agg(F.max("share").alias("share"))
     order = F.when(F.col("share") >= remove, ORDER.index("term_removed")).otherwise(ORDER.index("term"))
