@@ -54,7 +54,7 @@ class Spider:
     max_retries = policy.MAX_RETRIES
     per_domain: int | None = None
     wave_size: int | None = None
-    max_waves = 100
+    max_waves: int | None = None  # where set, a crawl pauses after so many
 
     def start_requests(self, spark: SparkSession) -> DataFrame:
         if not self.start_urls:
@@ -88,6 +88,13 @@ class Spider:
         """failed: requests the corpus holds no response for."""
 
 
+def _union(parts: list[DataFrame]) -> DataFrame:
+    """All parts in order, in pairs: the plan's depth grows with the logarithm of the waves."""
+    while len(parts) > 1:
+        parts = [parts[i].unionByName(parts[i + 1]) if i + 1 < len(parts) else parts[i] for i in range(0, len(parts), 2)]
+    return parts[0]
+
+
 class Crawl:
     """One run of a spider over corpus: (url, html) and optionally status."""
 
@@ -121,7 +128,7 @@ class Crawl:
             queue, seen = frontier.enqueue(policy.with_session(spider.start_requests(self.spark), sessions).drop("known"))
             queue, seen = self._keep(queue, "queue-0"), self._keep(seen, "seen-0")
         self.logs: list[DataFrame] = []
-        while s["waves"] < spider.max_waves and not self.stop and not queue.isEmpty():
+        while (spider.max_waves is None or s["waves"] < spider.max_waves) and not self.stop and not queue.isEmpty():
             s["waves"] = k = s["waves"] + 1
             taken = self._keep(frontier.next_wave(queue, spider.per_domain, spider.wave_size), f"taken-{k}")
             rest = queue.join(taken.select("fp", "seq"), ["fp", "seq"], "left_anti").select(*queue.columns)
@@ -155,19 +162,17 @@ class Crawl:
             if self.checkpoint and (self.stop or self.checkpoint.due(time.monotonic())):
                 self.checkpoint.save(queue, seen, time.monotonic())
             yield kept
-        self.paused = bool(self.stop) and not queue.isEmpty()
+        self.paused = not queue.isEmpty()
         if self.checkpoint and not self.paused:
             self.checkpoint.cleanup()
+        elif self.checkpoint and not self.stop:
+            self.checkpoint.save(queue, seen, time.monotonic())
         spider.on_close()
 
     def start(self) -> CrawlResult:
         began, parts = time.monotonic(), list(self.waves())
-        items = parts[0] if parts else self.spark.createDataFrame([], schemas.ITEMS)
-        log = self.logs[0] if self.logs else None
-        for p in parts[1:]:
-            items = items.unionByName(p)
-        for p in self.logs[1:]:
-            log = log.unionByName(p)
+        items = _union(parts) if parts else self.spark.createDataFrame([], schemas.ITEMS)
+        log = _union(self.logs) if self.logs else None
         elapsed = time.monotonic() - began
         self.stats |= {"elapsed_seconds": round(elapsed, 2), "requests_per_second": round(self.stats["requests"] / elapsed, 2) if elapsed else 0.0}
         return CrawlResult(items, log, self.stats, self.paused, self.folder)

@@ -152,6 +152,20 @@ def test_crawl(spark, tmp_path):
         Crawl(Spider(), corpus, str(tmp_path / "z")).start()
 
 
+def test_a_wave_limit_pauses(spark, tmp_path):
+    class Chain(Spider):
+        start_urls = ("http://a.example/0",)
+        max_waves = 2
+
+    assert Spider.max_waves is None
+    corpus = spark.createDataFrame([(f"http://a.example/{i}", f"<a href='/{i + 1}'>x</a>" if i < 2 else "") for i in range(3)], "url string, html string")
+    c = Checkpoint(spark, str(tmp_path / "c"), 0)
+    first = Crawl(Chain(), corpus, str(tmp_path / "x"), checkpoint=c).start()
+    assert first.paused and c.exists() and len(first) == 2
+    rest = Crawl(Chain(), corpus, str(tmp_path / "y"), checkpoint=c).start()
+    assert rest.completed and not c.exists() and [r.url for r in rest] == ["http://a.example/2"]
+
+
 def test_streams(spark, sf, tmp_path):
     spark.read.parquet(f"{sf}/pages.parquet").repartition(3).write.parquet(str(tmp_path / "in"))
     found = []
