@@ -21,12 +21,21 @@ documents that hold e, terms that disclose ``generalise`` of it or more become s
 of kind ``term``, and those that disclose ``remove`` or more kind ``term_removed``;
 ``sanitise`` writes a placeholder for the first and nothing for the second.
 
-Plan: one native pass stores the base spans; only documents with entities are read
-again for terms, and one more pass counts the terms of all documents.  Entities of the
-same documents have the same counts, so they are taken as one, told apart by n(e) and
-128 bits of hashes of the documents.  Counts are aggregated before shuffles.  Terms
-already too frequent in the documents with entities to pass for any of them are left
-out before that, by a list of at most ``HOT`` terms.
+Plan: one native pass finds the base spans and keeps the texts that have some; one more
+pass counts the remaining terms of those in all documents.  Entities held by the same
+documents have the same counts and are taken as one, and so are terms of one n(t) in
+the same documents; sets of documents are told apart by 128 bits of hashes.
+
+Only pairs that share two documents or more are listed.  For the others n(t, e) = 1,
+and then the share falls as n(e) grows, so the least n(e) of a document speaks for all
+its entities: that needs no pairs.  Of two sets that share two documents at least one
+shared document is not the largest of both, so entities and terms that are both at
+their largest document (by the pairs it would give) do not meet there: a directory
+whose entries recur on pages of their own gives no square of its entries.  What is left
+grows with the pairs of repeated entity sets and term sets that do meet elsewhere, as
+in several directories with the same entries but different neighbours.  Terms too
+frequent to pass for any entity are left out before all that: of those, the most
+frequent by a list of at most ``HOT``, the rest by their counts.
 
 Defined cases: null counts as the empty text; rows are told apart by doc_id and a
 hash of their text, so repeated rows share their spans and count as one document,
@@ -40,7 +49,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, documents, shared_folder, stage
+from .common import SPACE, WORD, documents, shared_folder, stage
 
 _LOCAL = "A-Za-z0-9._%+-"
 KINDS = {
@@ -55,7 +64,8 @@ ORDER = [*KINDS, "term", "term_removed"]
 EDGE = ".,;:!?\"'()[]{}<>*#$%&|~"
 SPAN = "array<struct<start:bigint,ord:int,end:bigint,value:string>>"
 PRIOR, GENERALISE, REMOVE = 1.0, 0.85, 0.97
-HOT = 2**17
+#: Terms that are broadcast as strings, and as hashes.
+HOT, SENT = 2**17, 2**20
 
 
 def located(text: Column, pattern: str) -> Column:
@@ -141,78 +151,129 @@ def _key(docs: DataFrame) -> list[Column]:
     return [F.col("doc_id").alias("p_doc"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("p_hash")]
 
 
-def find_base(docs: DataFrame, folder: str) -> DataFrame:
-    """p_doc, p_hash and p_base (sorted spans) of every row."""
-    return stage(docs.select(*_key(docs), base_spans(F.col("text")).alias("p_base")), "base", folder)
+def find_base(docs: DataFrame, folder: str, *, rows: bool = False) -> DataFrame:
+    """p_doc, p_hash and p_base (sorted spans) of every row, p_text where it has spans; with rows also p_row, the row as a struct."""
+    whole = [F.struct(*docs.columns).alias("p_row")] * rows  # one column, so no name of the row's columns can clash
+    found = docs.select(*_key(docs), *whole, F.coalesce("text", F.lit("")).alias("p_text"), base_spans(F.col("text")).alias("p_base"))
+    return stage(found.withColumn("p_text", F.when(F.size("p_base") > 0, F.col("p_text"))), "base", folder)
+
+
+KEY = ["p_doc", "p_hash"]
+
+
+def _entities(base: DataFrame, folder: str) -> DataFrame:
+    """KEY, n_e and entity: a set of documents that holds some entity, for each document of the set."""
+    value = F.when(F.col("s.ord") == 0, F.lower("s.value")).when(F.col("s.ord") == 1, F.col("s.value")).otherwise(_digits(F.col("s.value")))
+    held = base.where("size(p_base) > 0 AND p_doc IS NOT NULL").select(*KEY, F.explode("p_base").alias("s"))
+    held = held.select(*KEY, F.concat(F.col("s.ord").cast("string"), F.lit(":"), value).alias("value")).distinct()
+    groups = held.groupBy("value").agg(F.count("*").alias("n_e"), *_marks())
+    held = held.join(groups, "value").select(*KEY, "n_e", F.struct("n_e", "mark_1", "mark_2").alias("entity"))
+    return stage(held.distinct(), "entities", folder)
+
+
+def _marks() -> list[Column]:
+    return [F.bit_xor(F.xxhash64(F.lit(k), *KEY)).alias(f"mark_{k}") for k in (1, 2)]
+
+
+def _words(base: DataFrame, repeats: bool) -> DataFrame:
+    """KEY, term, start and end of the words beside the spans, in documents that have spans."""
+    near = base.where("size(p_base) > 0 AND p_doc IS NOT NULL").select(*KEY, "p_base", "p_text")
+    near = near.dropDuplicates(KEY) if repeats else near
+    words = near.select(*KEY, "p_base", F.explode(located(F.col("p_text"), WORD)).alias("w")).withColumn("term", _term(F.col("w.value")))
+    begin = F.col("w.start") + F.length("w.value") - F.length(F.ltrim("w.value", F.lit(EDGE)))
+    words = words.where("term <> ''").select(*KEY, "p_base", "term", begin.alias("start"), (begin + F.length("term")).alias("end"))
+    return words.where(~F.exists("p_base", lambda s: (s["start"] < F.col("end")) & (s["end"] > F.col("start")))).drop("p_base")
+
+
+def _counts(docs: DataFrame, local: DataFrame, repeats: bool) -> DataFrame:
+    """(term, n_t) over all documents, of the terms of local at least."""
+    terms = F.array_distinct(F.transform(F.array_distinct(F.split(F.coalesce("text", F.lit("")), f"[{SPACE}]+")), _term))
+    every = docs.where("doc_id IS NOT NULL").select(*_key(docs), F.explode(terms).alias("term"))
+    if local.count() <= SENT:  # their hashes are sent; else counts of all terms meet them
+        sent = F.broadcast(local.select(F.xxhash64("term").alias("h")).distinct())
+        every = every.withColumn("h", F.xxhash64("term")).join(sent, "h", "left_semi")
+    every = every.select(*KEY, "term").distinct() if repeats else every
+    return every.groupBy("term").agg(F.count("*").alias("n_t"))
+
+
+def _meetings(held: DataFrame, tdoc: DataFrame, folder: str) -> DataFrame:
+    """(entity, n_e, t, n_t, n_te) of all pairs that share two documents or more."""
+    held = held.where("n_e > 1").select(*KEY, "entity", "n_e")
+    tdoc = tdoc.where("n_here > 1").select(*KEY, "t", "n_t")
+    weight = held.groupBy(*KEY).agg(F.count("*").alias("a")).join(tdoc.groupBy(*KEY).agg(F.count("*").alias("b")), KEY)
+    weight = stage(weight.select(*KEY, F.struct((F.col("a") * F.col("b")).alias("w"), *KEY).alias("place")), "places", folder)
+
+    def with_last(rows: DataFrame, item: str, name: str) -> DataFrame:
+        """Whether a row stands at the largest document of its item, and that document."""
+        placed = rows.join(weight, KEY)
+        last = placed.groupBy(item).agg(F.max("place").alias("last"))
+        return stage(placed.join(last, item).withColumn("at_last", F.col("place") == F.col("last")).drop("place"), name, folder)
+
+    e = with_last(held, "entity", "entity-places").withColumnsRenamed({"last": "e_last", "at_last": "e_at"})
+    t = with_last(tdoc, "t", "term-places").withColumnsRenamed({"last": "t_last", "at_last": "t_at"})
+    meet = e.where("NOT e_at").join(t, KEY).unionByName(e.where("e_at").join(t.where("NOT t_at"), KEY))
+    found = meet.groupBy("entity", "n_e", "t", "n_t").agg(F.count("*").alias("n"), F.first(F.col("e_last") == F.col("t_last")).alias("both"))
+    return found.select("entity", "n_e", "t", "n_t", (F.col("n") + F.col("both").cast("long")).alias("n_te"))
 
 
 def disclosing_terms(
     docs: DataFrame, base: DataFrame, folder: str, *, prior: float = PRIOR, generalise: float = GENERALISE, remove: float = REMOVE
 ) -> DataFrame:
     """p_doc, p_hash and p_terms (spans of disclosing terms) of the documents that hold such."""
-    value = F.when(F.col("s.ord") == 0, F.lower("s.value")).when(F.col("s.ord") == 1, F.col("s.value")).otherwise(_digits(F.col("s.value")))
-    held = base.where("size(p_base) > 0 AND p_doc IS NOT NULL").select("p_doc", "p_hash", F.explode("p_base").alias("s"))
-    held = held.select("p_doc", "p_hash", F.concat(F.col("s.ord").cast("string"), F.lit(":"), value).alias("entity")).distinct()
-    marks = [F.bit_xor(F.xxhash64(F.lit(k), "p_doc", "p_hash")).alias(f"mark_{k}") for k in (1, 2)]
-    groups = held.groupBy("entity").agg(F.count("*").alias("n_e"), *marks)
-    held = held.join(groups, "entity").select("p_doc", "p_hash", "n_e", F.struct("n_e", "mark_1", "mark_2").alias("entity"))
-    held = stage(held.distinct(), "entities", folder)
-
-    rows = base.where("p_doc IS NOT NULL").select("p_doc", "p_hash")
-    n_rows, n = rows.agg(F.count("*"), F.count_distinct("p_doc", "p_hash")).first()
-    here = docs.select(*_key(docs), F.coalesce("text", F.lit("")).alias("text")).where("p_doc IS NOT NULL")
-    # the spans are found again: a join would shuffle the texts of all documents
-    near = here.withColumn("p_base", base_spans(F.col("text"))).where("size(p_base) > 0")
-    if n_rows > n:
-        near = near.dropDuplicates(["p_doc", "p_hash"])
-    words = near.select("p_doc", "p_hash", "p_base", F.explode(located(F.col("text"), WORD)).alias("w")).withColumn("term", _term(F.col("w.value")))
-    begin = F.col("w.start") + F.length("w.value") - F.length(F.ltrim("w.value", F.lit(EDGE)))
-    words = words.where(F.length("term") >= 3).select("p_doc", "p_hash", "p_base", "term", begin.alias("start"), (begin + F.length("term")).alias("end"))
-    apart = ~F.exists("p_base", lambda s: (s["start"] < F.col("end")) & (s["end"] > F.col("start")))
-    words = stage(words.where(apart).drop("p_base"), "words", folder)
-
-    # n(t) is at least the count among these documents, n(t, e) at most n(e): a term above what any entity allows cannot pass
-    seen = lambda n_te: n_te + prior * F.col("n_e") / F.lit(float(n))
-    most = lambda n_te: seen(n_te) * F.pow(F.lit(float(n)) / F.col("n_e"), F.lit(1 - generalise)) * (1 + 1e-9) - prior
-    limit = held.agg(F.max(most(F.col("n_e")))).first()[0]
+    held = _entities(base, folder)
+    n_rows, n = base.where("p_doc IS NOT NULL").agg(F.count("*"), F.count_distinct(*KEY)).first()
+    size = F.lit(float(n or 1))
+    held = held.where(F.col("n_e") < n)  # what every document holds tells nothing apart
+    words = stage(_words(base, n_rows > n), "words", folder)
+
+    # n(t, e) is at most n(e), so a term with a larger n(t) than this cannot pass for the entity
+    most = (F.col("n_e") + prior * F.col("n_e") / size) * F.pow(size / F.col("n_e"), F.lit(1 - generalise)) * (1 + 1e-9) - prior
+    limit = held.agg(F.max(most)).first()[0]
     if limit is None:
-        return words.select("p_doc", "p_hash", F.array().cast(SPAN).alias("p_terms")).limit(0)
-    local = words.groupBy("term").agg(F.count_distinct("p_doc", "p_hash").alias("n_here"))
-    # at most HOT terms are sent; the others go the longer way
+        return words.select(*KEY, F.array().cast(SPAN).alias("p_terms")).limit(0)
+    per_doc = words.select(*KEY, "term").distinct()
+    local = stage(per_doc.groupBy("term").agg(F.count("*").alias("n_here"), *_marks()), "local", folder)
+    # at most HOT terms are sent; the others go by the counts below
     hot = local.where(F.col("n_here") > max(limit, words.count() / HOT)).select("term")
     words = words.join(F.broadcast(hot), "term", "left_anti")
-    per_doc = words.select("p_doc", "p_hash", "term").distinct()
-    pairs = held.join(per_doc, ["p_doc", "p_hash"]).groupBy("entity", "n_e", "term").agg(F.count("*").alias("n_te")).where(F.col("n_e") < n)
-    pairs = stage(pairs, "pairs", folder)
-    if pairs.isEmpty():
-        return words.select("p_doc", "p_hash", F.array().cast(SPAN).alias("p_terms")).limit(0)
-    every = here.dropDuplicates(["p_doc", "p_hash"]) if n_rows > n else here
-    terms = F.array_distinct(F.transform(F.array_distinct(F.split("text", r"[\x20\x09-\x0D]+")), _term))
-    n_t = every.select(F.explode(terms).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
-    share = F.log2(seen(F.col("n_te")) * F.lit(float(n)) / ((F.col("n_t") + prior) * F.col("n_e"))) / F.log2(F.lit(float(n)) / F.col("n_e"))
-    telling = pairs.join(n_t, "term").withColumn("share", share).where(F.col("share") >= generalise).select("entity", "term", "share")
-    worst = held.join(words, ["p_doc", "p_hash"]).join(telling, ["entity", "term"]).groupBy("p_doc", "p_hash", "start", "end", "term").agg(F.max("share").alias("share"))
+    local = local.where(F.col("n_here") <= limit)
+    counted = local.join(_counts(docs, local, n_rows > n), "term").where(F.col("n_t") <= limit)
+    terms = counted.select("term", "n_t", "n_here", F.struct("n_t", "mark_1", "mark_2").alias("t"))
+    words = stage(words.join(terms, "term"), "candidates", folder)
+    tdoc = stage(words.select(*KEY, "t", "n_t", "n_here").distinct(), "term-sets", folder)
+
+    def share(n_te: Column) -> Column:
+        return F.log2((n_te + prior * F.col("n_e") / size) * size / ((F.col("n_t") + prior) * F.col("n_e"))) / F.log2(size / F.col("n_e"))
+
+    alone = tdoc.join(held.groupBy(*KEY).agg(F.min("n_e").alias("n_e")), KEY).select(*KEY, "t", share(F.lit(1)).alias("share"))
+    telling = _meetings(held, tdoc, folder).withColumn("share", share(F.col("n_te"))).where(F.col("share") >= generalise)
+    telling = stage(telling.select("entity", "t", "share"), "telling", folder)
+    together = telling.join(tdoc.select(*KEY, "t"), "t").join(held.select(*KEY, "entity"), [*KEY, "entity"]).select(*KEY, "t", "share")
+    worst = alone.where(F.col("share") >= generalise).unionByName(together).groupBy(*KEY, "t").agg(F.max("share").alias("share"))
     order = F.when(F.col("share") >= remove, ORDER.index("term_removed")).otherwise(ORDER.index("term"))
     span = F.struct("start", order.cast("int").alias("ord"), "end", F.col("term").alias("value"))
-    return stage(worst.groupBy("p_doc", "p_hash").agg(F.array_sort(F.collect_list(span)).alias("p_terms")), "terms", folder)
+    return stage(words.join(worst, [*KEY, "t"]).groupBy(*KEY).agg(F.array_sort(F.collect_list(span)).alias("p_terms")), "terms", folder)
+
+
+def with_terms(base: DataFrame, terms: DataFrame) -> DataFrame:
+    """base with p_spans (base and terms, sorted); rows without entities have no terms and take no part in the join."""
+    every = F.array_sort(F.concat("p_base", F.coalesce("p_terms", F.array().cast(SPAN))))
+    some = base.where(F.size("p_base") > 0).join(terms, KEY, "left").withColumn("p_spans", every).drop("p_terms")
+    return base.where(F.size("p_base") == 0).withColumn("p_spans", F.col("p_base")).unionByName(some)
 
 
 def find_all(docs: DataFrame, **options) -> DataFrame:
     """p_doc, p_hash, p_base and p_spans (base and terms, sorted) of every row."""
     folder = shared_folder(docs.sparkSession)
     base = find_base(docs, folder)
-    terms = disclosing_terms(docs, base, folder, **options)
-    every = F.array_sort(F.concat("p_base", F.coalesce("p_terms", F.array().cast(SPAN))))
-    return base.join(terms, ["p_doc", "p_hash"], "left").withColumn("p_spans", F.when(F.col("p_terms").isNull(), F.col("p_base")).otherwise(every))
+    return with_terms(base, disclosing_terms(docs, base, folder, **options)).select(*KEY, "p_base", "p_spans")
 
 
 def sanitise(docs: DataFrame, **options) -> DataFrame:
     """docs with the spans of ``text`` replaced by placeholders; all columns stay."""
     folder = shared_folder(docs.sparkSession)
-    terms = disclosing_terms(docs, find_base(docs, folder), folder, **options)
-    # the row travels as one struct, so no name of its columns can clash
-    keyed = docs.select(F.struct(*docs.columns).alias("p_row"), *_key(docs), F.coalesce("text", F.lit("")).alias("p_text"), base_spans(F.col("text")).alias("p_base"))
-    joined = keyed.join(terms, ["p_doc", "p_hash"], "left").withColumn("p_spans", F.when(F.col("p_terms").isNull(), F.col("p_base")).otherwise(F.array_sort(F.concat("p_base", "p_terms"))))
+    base = find_base(docs, folder, rows=True)
+    joined = with_terms(base, disclosing_terms(docs, base, folder, **options))
     # of overlapping spans the first stands, stretched to the end of the last
     merged = F.aggregate(
         "p_spans",

@@ -235,28 +235,49 @@ def test_disclosing_terms(spark):
     assert clean[100] == "the of and thing0 maybe" and clean[500] == "zorbax alone" and clean[None] == "[EMAIL] zorbax"
 
 
-def test_terms_of_entities_of_few_documents(spark):
-    """A brute force of the smoothed shares, where no entity is in more than two documents."""
-    words = lambda i: " ".join(f"word{(7 * i + j * j) % 90}" for j in range(1 + i % 6))
-    texts = {i: f"{words(i)} and the plain" for i in range(400)}
-    for i, extra in {3: "ann@x.org zorbax", 40: "bo@x.org cy@x.org quibble 10.1.2.3", 41: "bo@x.org quibble", 300: "10.9.9.9 lonely lonely"}.items():
-        texts[i] += f" {extra}"
-    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+def _disclosed(texts):
+    """Brute force of the smoothed shares of words without punctuation: (doc, term) with the largest share that passes."""
     base = {i: [v for v in t.split() if "@" in v or v.count(".") == 3] for i, t in texts.items()}
     terms = {i: set(t.split()) - set(base[i]) for i, t in texts.items()}
-    n, n_t = len(texts), Counter(t for i in terms for t in terms[i])
-    want = {}
+    n, n_t, want = len(texts), Counter(t for i in terms for t in terms[i]), {}
     for e in {e for es in base.values() for e in es}:
         docs = [i for i in base if e in base[i]]
         for t, n_te in Counter(t for i in docs for t in terms[i]).items():
-            share = np.log2((n_te + len(docs) / n) / (n_t[t] + 1) * n / len(docs)) / np.log2(n / len(docs))
+            share = np.log2((n_te + len(docs) / n) / (n_t[t] + 1) * n / len(docs)) / np.log2(n / len(docs)) if len(docs) < n else 0
             if share >= pii.GENERALISE:
                 for i in docs:
                     if t in terms[i]:
                         want[i, t] = max(want.get((i, t), 0), share)
+    return {k: pii.ORDER.index("term_removed" if x >= pii.REMOVE else "term") for k, x in want.items()}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_terms_of_random_corpora(spark, seed, monkeypatch):
+    """Entities and terms that recur together and apart, a directory that lists all, copies of it, repeated rows."""
+    rng = np.random.default_rng(seed)
+    texts = {i: " ".join(f"w{int(x)}" for x in rng.zipf(1.3, 12) % 400) for i in range(300)}
+    for k in range(25):
+        for i in rng.choice(300, int(rng.integers(1, 5)), replace=False).tolist():
+            texts[i] += f" p{k}@x.org n{k} q{k % 7}"
+    directory = " ".join(f"p{k}@x.org n{k}" for k in range(25))
+    texts |= {400: directory, 401: directory + " li", 402: directory + " li bo zz@x.org"}
+    if seed:  # the way without a list of terms
+        monkeypatch.setattr(pii, "SENT", 0)
+    rows = list(texts.items()) + [(i, texts[i]) for i in (3, 400)] * (seed == 2)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.p_doc, s.value): s.ord for r in pii.find_all(df).collect() for s in r.p_spans if s.ord >= 4}
+    want = _disclosed(texts)
+    assert got == want and len(want) > 100 and (402, "bo") in want
+
+
+def test_terms_of_entities_of_few_documents(spark):
+    words = lambda i: " ".join(f"word{(7 * i + j * j) % 90}" for j in range(1 + i % 6))
+    texts = {i: f"{words(i)} and the plain" for i in range(400)}
+    for i, extra in {3: "ann@x.org zorbax", 40: "bo@x.org cy@x.org quibble 10.1.2.3", 41: "bo@x.org quibble", 300: "10.9.9.9 lonely lonely"}.items():
+        texts[i] += f" {extra}"
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     got = {(r.p_doc, s.value): s.ord for r in pii.find_all(df).collect() for s in r.p_spans if s.ord >= 4}
-    assert got == {k: pii.ORDER.index("term_removed" if x >= pii.REMOVE else "term") for k, x in want.items()}
-    assert {(3, "zorbax"), (40, "quibble"), (41, "quibble"), (300, "lonely")} <= set(got)
+    assert got == _disclosed(texts)
     clean = {r.doc_id: r.text for r in pii.sanitise(df).collect()}
     assert clean[3].endswith("and the plain [EMAIL] [TERM]") and clean[300].endswith("and the plain [IP] [TERM] [TERM]")
 
