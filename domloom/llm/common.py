@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 SPACE = r"\x20\x09-\x0D"
 WORD = f"[^{SPACE}]+"
 
-#: Documents are long rows: so many of them at most go to a Python worker at once.
-BATCH_ROWS = 1500
+#: Documents are long rows: so many of them, and of their bytes (one row at least), go to a Python worker at once.
+BATCH_ROWS, BATCH_BYTES = 1500, 1 << 24
 
 _scratch: dict[int, str] = {}
 
@@ -35,12 +35,14 @@ def fold(doc_id: Column | str, n: int) -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A fresh folder below spark.checkpoint.dir; a temporary one only where that is unset."""
+    """A fresh folder below spark.checkpoint.dir; a temporary one only where that is unset and the master is local."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         base = held.get() if held.isDefined() else None
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         key = id(spark.sparkContext)
         if key not in _scratch:
             folder = tempfile.TemporaryDirectory(prefix="domloom-")
@@ -60,7 +62,17 @@ def stage(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
 
 
 def few_rows_a_batch(spark: SparkSession) -> None:
-    """Lower the session's Arrow batches to BATCH_ROWS rows if they are larger: Spark counts them in rows, not bytes, by default."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
-        spark.conf.set(name, str(BATCH_ROWS))
+    """Lower the session's Arrow batches to BATCH_ROWS rows and BATCH_BYTES bytes where they are larger.
+
+    Spark reads these settings when a plan runs, so they cannot travel with a DataFrame: they stay as set.
+    """
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        name = f"spark.sql.execution.arrow.{name}"
+        if not 0 < _bytes(spark.conf.get(name)) <= most:
+            spark.conf.set(name, str(most))
+
+
+def _bytes(value: str) -> int:
+    """A number, or a size such as 256MB."""
+    n = value.rstrip("bBkKmMgG")
+    return int(n) << {"": 0, "k": 10, "m": 20, "g": 30}[value[len(n) :].lower().rstrip("b")]
