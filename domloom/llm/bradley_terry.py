@@ -6,9 +6,10 @@ among them.  Pairs of a good and a bad training document give the logistic loss
 ``log(1 + exp(-w . (x_good - x_bad)))``, minimised by Newton steps with a ridge
 penalty.  A document's strength is ``w . x``.
 
-The cut is a quantile of strength: all labelled training rows are counted by
-strength (a histogram of fixed size), and the quantile with the fewest training
-errors is taken, in the middle of an empty run if there is one.  The score is
+The cut is a quantile of strength: the labelled training rows, all of them, are
+counted between ``QUANTILES`` quantiles of their strengths, and the quantile with the
+fewest training errors is taken (the middle one of a run of equals), half way between
+the two strengths that it lies between.  The score is
 ``sigmoid(strength - cut + logit(0.7))``, so 0.7 is the cut.
 
 Weights are fitted on at most ``sample_rows`` labelled rows of each class, those
@@ -38,7 +39,7 @@ from .compression_rules import duplicate_lines, repeated_words, word_chars
 
 CUT_SCORE = 0.7
 SAMPLE_ROWS = 10_000
-BINS = 4096
+QUANTILES = 2000
 
 
 def _class(chars: str) -> np.ndarray:
@@ -127,12 +128,20 @@ def strength(model: dict, x: np.ndarray) -> np.ndarray:
     return np.zeros(len(x)) if model["w"] is None else expand(x, model["mean"], model["scale"]) @ model["w"]
 
 
-def cut_from_counts(low: float, width: float, bad: np.ndarray, good: np.ndarray) -> float:
-    """The bin edge with the fewest errors (bad at or above it, good below it); the middle of a run of such."""
+def cut_from_counts(bad: np.ndarray, good: np.ndarray, low: np.ndarray, high: np.ndarray) -> float:
+    """The cut between two bins, by the counts and the extremes of strength in each (nan where empty).
+
+    Bad rows in or above a bin and good rows below it are errors; the first bin has nothing below it.
+    """
+    filled = np.flatnonzero(bad + good)
+    bad, good, low, high = bad[filled], good[filled], low[filled], high[filled]
     wrong = np.concatenate(([0], np.cumsum(good))) + bad.sum() - np.concatenate(([0], np.cumsum(bad)))
     best = np.flatnonzero(wrong == wrong.min())
     run = best[: np.flatnonzero(np.diff(best, append=best[-1] + 2) > 1)[0] + 1]
-    return low + width * (run[0] + run[-1]) / 2
+    at = int(run[len(run) // 2])
+    if at == len(low):
+        return float(np.nextafter(high[-1], np.inf))
+    return float(((high[at - 1] if at else low[0]) + low[at]) / 2)
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -150,6 +159,23 @@ def _scorer(model: dict) -> Callable:
     return score
 
 
+def _cut(known: DataFrame) -> float:
+    """The best quantile of (strength, label) rows; what reaches the driver is bounded by QUANTILES."""
+    levels = [F.lit(i / QUANTILES) for i in range(1, QUANTILES)]
+    edges = np.unique(known.agg(F.percentile_approx("strength", F.array(*levels), 10 * QUANTILES)).first()[0])
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = np.searchsorted(edges, batch.column("strength").to_numpy(), "right")
+            yield pa.record_batch({"bin": pa.array(at, pa.int32()), "label": batch.column("label").cast(pa.int32()), "strength": batch.column("strength")})
+
+    counts, ends = np.zeros((2, QUANTILES), np.int64), np.full((2, QUANTILES), np.nan)
+    binned = known.mapInArrow(place, "bin int, label int, strength double").groupBy("bin")
+    for k, bad, good, low, high in binned.agg(F.count_if(F.col("label") == 0), F.count_if(F.col("label") == 1), F.min("strength"), F.max("strength")).collect():
+        counts[:, k], ends[:, k] = (bad, good), (low, high)
+    return cut_from_counts(*counts, *ends)
+
+
 def rank_quality(docs: DataFrame, trains: DataFrame, *, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """(doc_id, strength, score) of all docs; trains holds (doc_id, label) rows that may be learned from."""
     table = stage(docs.select("doc_id", "text").mapInArrow(feature_batches, "doc_id long, x array<float>"), "features")
@@ -159,16 +185,7 @@ def rank_quality(docs: DataFrame, trains: DataFrame, *, sample_rows: int = SAMPL
     x = {c: _matrix(t.column("x")) if t.num_rows else np.zeros((0, len(NAMES))) for c, t in sampled.items()}
     model = fit(x[1], x[0])
     scored = table.mapInArrow(_scorer(model), "doc_id long, strength double")
-    cut = 0.0
-    if model["w"] is not None:
-        known = scored.join(trains, "doc_id")
-        low, high = known.agg(F.min("strength"), F.max("strength")).first()
-        width = max((high - low) / BINS, 1e-9)
-        at = F.least(F.floor((F.col("strength") - low) / width), F.lit(BINS - 1)).cast("int")
-        counts = np.zeros((2, BINS), np.int64)
-        for k, label, n in known.groupBy(at.alias("bin"), "label").count().collect():  # at most 2 x BINS rows
-            counts[label, k] = n
-        cut = cut_from_counts(low, width, counts[0], counts[1])
+    cut = 0.0 if model["w"] is None else _cut(stage(scored.join(trains, "doc_id").select("strength", "label"), "known"))
     shifted = F.col("strength") - F.lit(float(cut)) + F.lit(float(np.log(CUT_SCORE / (1 - CUT_SCORE))))
     return scored.withColumn("score", 1 / (1 + F.exp(-F.greatest(F.lit(-700.0), shifted))))
 
