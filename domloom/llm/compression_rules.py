@@ -1,11 +1,12 @@
 """Operator 4: quality rules from zstandard compression bands.
 
-A text is compressed whole and, if longer than a chunk, in fixed chunks; the
-ratio compressed / raw bytes must stay inside a band that depends on the length.
-Text below the band is repetitive, text above it is incompressible (random
-symbols, encoded binary).  Short texts compress badly whatever they hold, so the
-bands widen as the length falls.  A document fails by a chunk if more than
-``bad_chunk_share`` of its chunks leave the chunk band.
+A text is compressed whole and, if longer than a chunk, in fixed chunks and what
+is left at its end; the ratio compressed / raw bytes must stay inside a band that
+depends on the length of what is compressed.  Text below the band is repetitive,
+text above it is incompressible (random symbols, encoded binary).  Short texts
+compress badly whatever they hold, so the bands widen as the length falls.  A
+document fails by its chunks if those outside their bands hold more than
+``BAD_CHUNK_SHARE`` of its bytes.
 
 One pass of Arrow batches, no shuffle; a task holds one block of documents.
 
@@ -30,7 +31,8 @@ from .common import documents
 #: From so many UTF-8 bytes on: lowest and highest ratio of a whole text.
 BANDS = ((0, 0.0, 2.0), (256, 0.18, 0.95), (1024, 0.14, 0.80), (4096, 0.10, 0.70), (16384, 0.07, 0.65))
 CHUNK = 4096
-CHUNK_BAND = (0.10, 0.75)
+#: The same for a chunk: the last is of one chunk's bytes.
+CHUNK_BANDS = ((0, 0.0, 2.0), (256, 0.14, 1.00), (1024, 0.12, 0.85), (4096, 0.10, 0.75))
 BAD_CHUNK_SHARE = 0.5
 LEVEL = 3
 
@@ -43,18 +45,24 @@ SCHEMA = (
 )
 
 
-def band(n_bytes: int) -> tuple[float, float]:
-    return BANDS[bisect_right(BANDS, n_bytes, key=lambda b: b[0]) - 1][1:]
+def band(n_bytes: int, bands: tuple = BANDS) -> tuple[float, float]:
+    return bands[bisect_right(bands, n_bytes, key=lambda b: b[0]) - 1][1:]
 
 
-def ratios(raw: bytes, compress) -> tuple[float | None, list[float]]:
-    """Ratio of the whole text and of each full chunk of a text longer than one."""
+def ratios(raw: bytes, compress) -> tuple[float | None, list[tuple[int, float]]]:
+    """Ratio of the whole text, and bytes and ratio of each chunk of a text longer than one."""
     if not raw:
         return None, []
     whole = len(compress(raw)) / len(raw)
-    if len(raw) < 2 * CHUNK:
+    if len(raw) <= CHUNK:
         return whole, []
-    return whole, [len(compress(raw[i : i + CHUNK])) / CHUNK for i in range(0, len(raw) - CHUNK + 1, CHUNK)]
+    chunks = (raw[i : i + CHUNK] for i in range(0, len(raw), CHUNK))
+    return whole, [(len(c), len(compress(c)) / len(c)) for c in chunks]
+
+
+def outside(n_bytes: int, ratio: float, bands: tuple = BANDS) -> bool:
+    low, high = band(n_bytes, bands)
+    return not low <= ratio <= high
 
 
 def duplicate_lines(block: tb.Block) -> np.ndarray:
@@ -109,11 +117,10 @@ def score_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             for d in range(n):
                 raw = block.data[block.offsets[d] : block.offsets[d + 1]].tobytes()
                 whole, each = ratios(raw, compress)
-                low, high = band(len(raw))
                 ratio.append(whole)
-                chunks[d] = len(each)
-                bad[d] = sum(not CHUNK_BAND[0] <= r <= CHUNK_BAND[1] for r in each)
-                if whole is not None and not low <= whole <= high or bad[d] > BAD_CHUNK_SHARE * max(1, len(each)):
+                wrong = [size for size, r in each if outside(size, r, CHUNK_BANDS)]
+                chunks[d], bad[d] = len(each), len(wrong)
+                if whole is not None and outside(len(raw), whole) or sum(wrong) > BAD_CHUNK_SHARE * len(raw):
                     kept[d] = False
             yield pa.record_batch(
                 {
