@@ -6,8 +6,9 @@ rows).  Filters of width 1, 2 and 3 run over the words, each is pooled to its
 maximum over the text, and a logistic layer reads the pooled values.  Gradients
 flow through the positions of the maxima only; Adam, fixed seed.
 
-Training takes at most ``sample_rows`` labelled rows of each class with texts of
-at most ``sample_bytes`` bytes, those with the smallest hash of their id.  Scoring
+Training takes at most ``sample_rows`` labelled rows of each class, those with the
+smallest hash of their id, of any length; rows go as long as those before them hold
+less than ``sample_bytes`` bytes together, so the driver's memory is bounded.  Scoring
 covers every whole text: per block of documents, the filters are applied once to
 each distinct word and positions only gather and add.  The model (a few MB,
 fixed by its parameters) is broadcast.
@@ -18,27 +19,28 @@ nearest to 0.5 among equals; a language with fewer than ``least_toxic`` toxic ro
 keeps 0.5.  The language selects the threshold only; it never enters the score.
 
 Defined cases: null and empty texts have no words, all filters pool to 0 and the
-score is the bias alone, below 0.5; null or unknown languages use 0.5; rows without
+score is the bias alone, with labels they train that; null or unknown languages use 0.5; rows without
 a label, or with a null one, train nothing; without both classes every score is 0.
 Repeated rows are scored each; extra columns are ignored, or kept by ``drop_toxic``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from . import textbytes as tb
 from .common import documents, fold, labels, stage
 
 BUCKETS, DIM, FILTERS, WIDTHS = 1 << 15, 12, 6, (1, 2, 3)
 PREFIXES = range(3, 9)
-SAMPLE_ROWS, SAMPLE_BYTES = 3000, 1 << 16
+SAMPLE_ROWS, SAMPLE_BYTES = 3000, 1 << 26
 PADS = max(WIDTHS) - 1
 BINS = 200
 
@@ -194,28 +196,31 @@ def scores(model: Model | None, column: pa.Array) -> np.ndarray:
 
 def learn(docs: DataFrame, trains: DataFrame, *, sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES) -> Model | None:
     """A model from (doc_id, label) rows that may be learned from."""
-    short = docs.where(F.octet_length("text") <= sample_bytes).select("doc_id")
-    marked = trains.where(F.col("doc_id").isNotNull()).select("doc_id", "label").join(short, "doc_id", "left_semi")
+    held = docs.where(F.col("doc_id").isNotNull()).select("doc_id")
+    marked = trains.select("doc_id", "label").join(held, "doc_id", "left_semi")
     chosen = [marked.where(F.col("label") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows) for c in (0, 1)]
-    chosen = stage(chosen[0].unionAll(chosen[1]), "sample")
-    # at most 2 x sample_rows ids are broadcast, and texts of at most sample_bytes come back (the first of a repeated id)
-    texts = docs.where(F.octet_length("text") <= sample_bytes).select("doc_id", "text").join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id", "left_semi")
-    texts = texts.groupBy("doc_id").agg(F.min("text").alias("text"))
-    both = texts.join(F.broadcast(chosen), "doc_id").orderBy("label", F.xxhash64("doc_id"), "doc_id").select("text", "label").toArrow()
+    chosen = stage(chosen[0].unionAll(chosen[1]), "sample-ids")
+    # at most 2 x sample_rows ids are broadcast; of a repeated id the first text counts
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id", "left_semi")
+    texts = stage(texts.groupBy("doc_id").agg(F.min("text").alias("text")).join(F.broadcast(chosen), "doc_id"), "sample")
+    order = W.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(W.unboundedPreceding, -1)
+    before = texts.select("doc_id", "label", F.octet_length("text").alias("size")).withColumn("before", F.coalesce(F.sum("size").over(order), F.lit(0)))
+    fits = before.where(F.col("before") < sample_bytes).select("doc_id", "label").distinct()
+    both = texts.join(F.broadcast(fits), ["doc_id", "label"], "left_semi").orderBy("label", F.xxhash64("doc_id"), "doc_id").select("text", "label").toArrow()
     return fit(both.column("text").combine_chunks(), both.column("label").to_numpy().astype(np.int64))
 
 
-def _scorer(model) -> Callable:
+def score_all(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
+    """The columns keep of docs, and the score of ``text``."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    schema = StructType([*[docs.schema[c] for c in keep], StructField("score", DoubleType())])
+
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.record_batch({"doc_id": batch.column("doc_id").cast(pa.int64()), "lang": batch.column("lang").cast(pa.string()), "score": pa.array(scores(model.value, batch.column("text")), pa.float64())})
-
-    return score
+            found = pa.array(scores(sent.value, batch.column("text")), pa.float64())
+            yield pa.record_batch([*[batch.column(c) for c in keep], found], [*keep, "score"])
 
-
-def score_all(docs: DataFrame, model: Model | None) -> DataFrame:
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.select("doc_id", F.col("lang").cast("string").alias("lang"), "text").mapInArrow(tb.tidy(_scorer(sent)), "doc_id long, lang string, score double")
+    return docs.mapInArrow(tb.tidy(score), schema)
 
 
 def thresholds(scored: DataFrame, trains: DataFrame, *, least_toxic: int = 20) -> DataFrame:
@@ -239,26 +244,30 @@ def training_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labels(spark, sf_dir).where((fold("doc_id", 5) != 0) & F.col("toxic").isin(0, 1)).select("doc_id", F.col("toxic").alias("label"))
 
 
+def _judged(scored: DataFrame, trains: DataFrame, doc_id: str = "doc_id", lang: str = "lang", score: str = "score") -> DataFrame:
+    """(lang, threshold) for the scored rows; one row a language that has labels, joined by its measured size."""
+    return thresholds(scored.select(F.col(doc_id).alias("doc_id"), F.col(lang).cast("string").alias("lang"), F.col(score).alias("score")), trains)
+
+
 def classify(docs: DataFrame, trains: DataFrame) -> DataFrame:
     """(doc_id, lang, score, threshold, rejected) of every row of docs."""
-    scored = stage(score_all(docs, learn(docs, trains)), "scores")
-    return scored.join(thresholds(scored, trains), "lang", "left").withColumn("threshold", F.coalesce("threshold", F.lit(0.5))).withColumn("rejected", F.col("score") >= F.col("threshold"))
+    read = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), "text")
+    scored = stage(score_all(read, learn(docs, trains), ["doc_id", "lang"]), "scores")
+    joined = scored.join(_judged(scored, trains), "lang", "left").withColumn("threshold", F.coalesce("threshold", F.lit(0.5)))
+    return joined.withColumn("rejected", F.col("score") >= F.col("threshold"))
 
 
 def drop_toxic(docs: DataFrame, trains: DataFrame) -> DataFrame:
-    """docs without the rows that are rejected by their language's threshold; all columns stay."""
-    model = learn(docs, trains)
-    scored = stage(score_all(docs, model), "scores")
-    by_lang = {r.lang: r.threshold for r in thresholds(scored, trains).limit(10_000).collect()}  # one row a language
-    sent = docs.sparkSession.sparkContext.broadcast((model, by_lang))
-
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, by_lang = sent.value
-        for batch in batches:
-            limit = np.array([by_lang.get(x, 0.5) for x in batch.column("lang").to_pylist()])
-            yield batch.filter(pa.array(scores(model, batch.column("text")) < limit))
-
-    return docs.mapInArrow(tb.tidy(keep), docs.schema)
+    """docs without the rows that are rejected by their language's threshold; all columns stay.
+
+    Texts are scored once: the rows are written with their scores, and read again for the verdict.
+    """
+    # a struct keeps the row's other columns, so no name can clash
+    rows = docs.select(F.struct(*[c for c in docs.columns if c != "text"]).alias("row"), "text")
+    scored = stage(score_all(rows, learn(docs, trains), ["row", "text"]), "scores")
+    lines = _judged(scored, trains, "row.doc_id", "row.lang").withColumnsRenamed({"lang": "t_lang"})
+    kept = scored.join(lines, F.col("row.lang").cast("string") == F.col("t_lang"), "left").where(F.col("score") < F.coalesce("threshold", F.lit(0.5)))
+    return kept.select(*[F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
