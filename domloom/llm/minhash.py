@@ -26,13 +26,15 @@ Groups, not pairs:
   links, each step a written table.
 
 What is shuffled: 16 bytes per node and band, twice; and the texts of nodes that
-share a bucket with another.  Hot buckets and leaders sit in equi-joins that
-adaptive execution can split.
+share a bucket with another, a hot leader's once for ``FOLLOWERS`` others.  Hot nodes
+of the link graph are broadcast (their number has a proven bound); hot buckets sit in
+equi-joins that adaptive execution can split.
 
 Defined cases: fewer words than k make one shingle of the whole sequence; a null,
 empty or blank text has an empty set, is linked with nothing and is kept; rows
-that repeat an id are grouped each by its own text and share no link for that; a
-null doc_id keeps a null component and takes part in no group.  Extra columns are
+that repeat an id are grouped each by its own text and share no link for that (and
+``drop_near_duplicates`` judges each by its text); a null doc_id keeps a null component
+and takes part in no group.  Extra columns are
 ignored by ``near_duplicates`` and kept by ``drop_near_duplicates``.
 """
 
@@ -47,11 +49,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
-from .common import documents, shared_folder, stage
+from .common import WORD, documents, shared_folder, stage
 
 BANDS, ROWS = 60, 7
 UNIVERSE = 1 << 20
 FEW = 24
+#: Shingles in a block of nodes (a node at least), nodes that may be hot, and followers that share one copy of a leader's text.
+BLOCK_SHINGLES, HOT_SHARE, FOLLOWERS = 1 << 21, 1 << 12, 256
 _U = np.uint64
 
 
@@ -123,6 +127,7 @@ def _describe(k: int, bands: int, rows: int) -> Callable:
                 yield pa.record_batch(
                     {
                         "doc_id": batch.column("doc_id").slice(block.first, len(block)).cast(pa.int64()),
+                        "text_key": batch.column("text_key").slice(block.first, len(block)),
                         "n_shingles": pa.array(n, pa.int64()),
                         "node": pa.array(set_hashes(values, offsets).view(np.int64)),
                         "bands": pa.ListArray.from_arrays(pa.array(ends), pa.array(hashes.reshape(-1))),
@@ -205,6 +210,19 @@ def _meet(k: int, percent: int) -> Callable:
     return meet
 
 
+def _with_least(edges: DataFrame, n: int) -> DataFrame:
+    """Edges (u, v), n of them, with m: the least neighbour of u.
+
+    A node of more than one in HOT_SHARE of the edges is hot: fewer than HOT_SHARE are, so they
+    are broadcast, and no key of the other join holds more than that.
+    """
+    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("c"))
+    limit = max(FEW, n // HOT_SHARE)
+    hot = F.broadcast(least.where(F.col("c") > limit).select("u", "m"))
+    rest = edges.join(hot.select("u"), "u", "left_anti").join(least.where(F.col("c") <= limit).select("u", "m"), "u")
+    return edges.join(hot, "u").unionByName(rest)
+
+
 def connected(links: DataFrame, folder: str, name: str) -> DataFrame:
     """(node, root) of every node with a link (a, b): root is the least node reachable."""
     edges = stage(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), f"{name}-0", folder)
@@ -213,12 +231,10 @@ def connected(links: DataFrame, folder: str, name: str) -> DataFrame:
     while (now := measure(edges)) != seen:
         seen, k = now, k + 1
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = _with_least(both, 2 * now[0]).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).where("u <> v").distinct()
         large = stage(large, f"{name}-{k}a", folder)
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionAll(least.select("u", F.col("m").alias("v")))
-        edges = stage(small.distinct(), f"{name}-{k}b", folder)
+        small = _with_least(large, now[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        edges = stage(small.unionAll(large.groupBy("u").agg(F.min("v").alias("v"))).distinct(), f"{name}-{k}b", folder)
     roots = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.unionAll(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
@@ -228,7 +244,8 @@ def _in_blocks(nodes: DataFrame, texts: DataFrame, k: int, percent: int, folder:
     step = float(np.log(100 / percent)) * (1 + 1e-9)  # sizes that can match lie in one class or in neighbours
     nodes = nodes.withColumn("c", F.floor(F.log(F.col("n").cast("double")) / step).cast("int"))
     per_class = nodes.groupBy("g", "c").agg(F.count("*").alias("m"))
-    fill = F.least(F.greatest(F.col("m") / 16, F.lit(128.0)), F.lit(2048.0))
+    largest = F.exp((F.col("c") + 1) * step)
+    fill = F.greatest(F.lit(1.0), F.least(F.greatest(F.col("m") / 16, F.lit(128.0)), F.lit(2048.0), BLOCK_SHINGLES / largest))
     per_class = stage(per_class.select("g", "c", F.ceil(F.col("m") / fill).cast("int").alias("blocks")), "classes", folder)
     nodes = stage(nodes.join(per_class, ["g", "c"]).withColumn("h", F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int")), "dealt", folder)
     # block h meets itself and the later ones of its class, and all of the next class
@@ -272,7 +289,14 @@ def _roots(docs: DataFrame, nodes: DataFrame, members: DataFrame, k: int, percen
 
     def links(pairs: DataFrame, name: str) -> DataFrame:
         a, b = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-        return stage(pairs.join(b, "b").join(a, "a").select("a", "b", "text_a", "text_b").mapInArrow(tb.tidy(_confirm(k, percent)), "a long, b long"), name, folder)
+        # a hot leader's text is copied once for so many followers, each copy to a key of its own; fewer than HOT_SHARE are hot
+        hot = pairs.groupBy("a").agg(F.count("*").alias("c")).where(F.col("c") > max(FOLLOWERS, pairs.count() // HOT_SHARE))
+        hot = F.broadcast(hot.select("a", F.ceil(F.col("c") / FOLLOWERS).cast("int").alias("copies")))
+        copies = F.coalesce("copies", F.lit(1))
+        a = a.join(hot, "a", "left").select("a", "text_a", F.explode(F.sequence(F.lit(0), copies - 1)).alias("copy"))
+        dealt = pairs.join(hot, "a", "left").select("a", "b", F.pmod(F.xxhash64("b", F.lit(5)), copies).cast("int").alias("copy"))
+        joined = dealt.join(b, "b").join(a, ["a", "copy"])
+        return stage(joined.select("a", "b", "text_a", "text_b").mapInArrow(tb.tidy(_confirm(k, percent)), "a long, b long"), name, folder)
 
     # first round: everyone against the least node of the bucket
     asked = stage(members.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), "asked-1", folder)
@@ -304,10 +328,11 @@ def _roots(docs: DataFrame, nodes: DataFrame, members: DataFrame, k: int, percen
     return roots
 
 
-def near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every row of docs."""
+def _grouped(docs: DataFrame, k: int, percent: int, bands: int, rows: int) -> DataFrame:
+    """doc_id, text_key, n_shingles, root (of the row's group, not for rows without words or id) and component_id of every row."""
     folder = shared_folder(docs.sparkSession)
-    described = docs.select("doc_id", "text").mapInArrow(tb.tidy(_describe(k, bands, rows)), "doc_id long, n_shingles long, node long, bands array<long>")
+    read = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
+    described = read.mapInArrow(tb.tidy(_describe(k, bands, rows)), "doc_id long, text_key long, n_shingles long, node long, bands array<long>")
     table = stage(described, "sets", folder)
     filled = table.where("n_shingles > 0 AND doc_id IS NOT NULL")
     nodes = stage(filled.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n")), "nodes", folder)
@@ -315,27 +340,42 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 80, bands: in
     shared = banded.groupBy("bucket").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where("leader <> last").select("bucket", "leader")
     members = stage(banded.join(shared, "bucket").distinct(), "members", folder)
     if members.isEmpty():  # no two sets are alike
-        component = nodes.select("node", F.col("doc_id").alias("component"))
+        component = nodes.select("node", F.col("node").alias("root"), F.col("doc_id").alias("component"))
     else:
         roots = _roots(docs, nodes, members, k, percent, folder)
-        grouped = nodes.join(roots, "node")
-        least = grouped.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-        known = nodes.select("node", "doc_id").join(grouped.select("node", "root").join(least, "root").select("node", "component_id"), "node", "left")
-        component = known.select("node", F.coalesce("component_id", "doc_id").alias("component"))
-    out = table.select("doc_id", "n_shingles", "node").join(component, "node", "left")
-    own = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
-    out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), own).alias("component_id"))
+        least = nodes.join(roots, "node").groupBy("root").agg(F.min("doc_id").alias("component_id"))
+        known = nodes.select("node", "doc_id").join(roots.join(least, "root"), "node", "left")
+        component = known.select("node", F.coalesce("root", "node").alias("root"), F.coalesce("component_id", "doc_id").alias("component"))
+    out = table.select("doc_id", "text_key", "n_shingles", "node").join(component, "node", "left")
+    linked = F.col("n_shingles") > 0
+    own = F.when(linked, F.col("component")).otherwise(F.col("doc_id"))
+    has_id = F.col("doc_id").isNotNull()
+    return out.select("doc_id", "text_key", "n_shingles", F.when(linked & has_id, F.col("root")).alias("root"), F.when(has_id, own).alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) of every row of docs."""
+    out = _grouped(docs, k, percent, bands, rows).select("doc_id", "n_shingles", "component_id")
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """docs with one document of each group: that of the smallest id, and of rows repeating that id the first by text."""
-    verdict = near_duplicates(docs, **options)
-    kept = docs.join(verdict.where("kept").select("doc_id").distinct(), "doc_id", "left_semi").unionByName(docs.where("doc_id IS NULL"))
-    if verdict.groupBy("doc_id").count().where("doc_id IS NOT NULL AND count > 1").isEmpty():
-        return kept.select(*docs.columns)
-    first = kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id", "text"])
-    return first.unionByName(kept.where("doc_id IS NULL")).select(*docs.columns)
+def drop_near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """docs with one row of each group: of its smallest id, and of that id's texts in the group the one of least hash.
+
+    Rows without words or without an id are in no group and stay.
+    """
+    # written, since two plans read it
+    verdict = stage(_grouped(docs, k, percent, bands, rows).select("doc_id", "text_key", "root"), "verdict")
+    first = verdict.where("root IS NOT NULL").groupBy("root").agg(F.min(F.struct("doc_id", "text_key")).alias("f")).select("f.*")
+    lone = verdict.where("root IS NULL AND doc_id IS NOT NULL").select("doc_id", "text_key")
+    stays = first.unionAll(lone).distinct().withColumnsRenamed({"doc_id": "m_doc", "text_key": "m_key"})
+    # the row travels as one struct, so no name of its columns can clash
+    row = docs.where("doc_id IS NOT NULL").select(F.struct(*docs.columns).alias("m_row"), F.col("doc_id").alias("m_doc"), F.xxhash64("text").alias("m_key"))
+    kept = row.join(stays, ["m_doc", "m_key"], "left_semi")
+    if not verdict.where("root IS NOT NULL").groupBy("doc_id", "text_key").count().where("count > 1").isEmpty():
+        worded = F.coalesce(F.rlike("m_row.text", F.lit(WORD)), F.lit(False))
+        kept = kept.where(worded).dropDuplicates(["m_doc", "m_key"]).unionByName(kept.where(~worded))
+    return kept.select("m_row.*").unionByName(docs.where("doc_id IS NULL"))
 
 
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
