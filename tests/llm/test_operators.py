@@ -15,7 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from domloom.llm import bradley_terry, compression_rules, lm, minhash, mixing, packing, pii, planes, registry, topk, toxicity
-from domloom.llm.common import documents, fold, labels, stage
+from domloom.llm.common import documents, fold, labels, shared_folder, stage
 from domloom.llm.tokens import tokenizer_path
 
 from .conftest import ROWS, with_clashes
@@ -90,13 +90,35 @@ def test_toxicity_edges(spark, edge, nothing):
     trains = spark.createDataFrame([(1, 0), (8, 1), (None, 1), (5, None)], "doc_id long, label int")
     got = toxicity.classify(edge, trains).collect()
     assert len(got) == len(ROWS) and all(0 <= r.score <= 1 and r.threshold == 0.5 for r in got)
-    assert all(r.score < 0.5 for r in got if r.doc_id in (2, 3, 4))
+    assert len({r.score for r in got if r.doc_id in (2, 3, 4)}) == 1
+    assert len(toxicity.classify(edge, spark.createDataFrame([(6, 1), (2, 0), (3, 0)], "doc_id long, label int")).collect()) == len(ROWS)  # very long and null texts train
     assert {r.score for r in toxicity.classify(edge, trains.limit(0)).collect()} == {0.0}
     kept = toxicity.drop_toxic(edge, trains)
     assert kept.columns == edge.columns and kept.where("doc_id = 3").count() == 1
     assert toxicity.classify(nothing, trains).count() == 0 and toxicity.drop_toxic(nothing, trains).count() == 0
 
 
+def test_training_rows_of_any_length(spark, monkeypatch):
+    """Rows leave the sample by their number and by the bytes before them, never by their own length."""
+    seen = {}
+    monkeypatch.setattr(toxicity, "fit", lambda texts, y: seen.update(zip(texts.to_pylist(), y.tolist(), strict=True)))
+    docs = spark.createDataFrame([(i, "x" * n) for i, n in enumerate((100_000, 5, 70_000, 9))] + [(8, None)], "doc_id long, text string")
+    trains = spark.createDataFrame([(0, 1), (1, 1), (2, 0), (3, 0), (8, 0), (77, 1)], "doc_id long, label int")
+    toxicity.learn(docs, trains)
+    assert {len(t): y for t, y in seen.items()} == {100_000: 1, 5: 1, 70_000: 0, 9: 0, 0: 0}
+    for args, n in (({"sample_rows": 1}, 2), ({"sample_bytes": 1}, None)):
+        seen.clear()
+        toxicity.learn(docs, trains, **args)
+        assert set(seen.values()) == {0, 1} and (n is None or len(seen) == n)
+
+
+def test_more_languages_than_can_be_counted_on_fingers(spark):
+    docs = spark.createDataFrame([(i, f"bad word {i}" if i % 2 else "good day", f"l{i % 9}") for i in range(180)], "doc_id long, text string, lang string")
+    trains = spark.createDataFrame([(i, i % 2) for i in range(180)], "doc_id long, label int")
+    judged = {r.doc_id for r in toxicity.classify(docs, trains).where("NOT rejected").collect()}
+    assert {r.doc_id for r in toxicity.drop_toxic(docs, trains).collect()} == judged
+
+
 def test_thresholds_by_language(spark):
     rows = [(i, "a", 0.2 + 0.001 * (i % 50), int(i % 2)) for i in range(100)]
     rows = [(i, lang, 0.30 if y else 0.10, y) for i, lang, _, y in rows] + [(100 + i, "b", 0.9 if i % 2 else 0.8, i % 2) for i in range(100)] + [(200, "c", 0.9, 1)]
@@ -163,6 +185,45 @@ def test_near_duplicate_edges(spark, edge, nothing):
     assert minhash.drop_near_duplicates(nothing).count() == 0
 
 
+def test_repeated_ids_are_judged_by_their_texts(spark):
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    near = a.replace("a59", "z")
+    rows = [(1, a, 0), (5, a, 1), (5, b, 2), (6, near, 3), (7, b, 4), (5, b, 5), (9, "", 6), (9, "", 7), (9, None, 8), (None, a, 9)]
+    kept = minhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, m_key int")).collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept) == sorted([(1, a), (5, b), (9, ""), (9, ""), (9, ""), (0, a)])
+
+
+def test_hot_leaders_and_hubs(spark, monkeypatch):
+    """A hub's texts and links dealt over keys of their own give the same groups."""
+    for name, value in (("HOT_SHARE", 4), ("FOLLOWERS", 3), ("FEW", 2)):
+        monkeypatch.setattr(minhash, name, value)
+    rows = _near(7, 6)
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k=2).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(_groups(rows, 2))
+
+
+def test_recall_on_documents(spark, docs, texts):
+    """All links of an exhaustive search are found."""
+    rows = sorted(texts.items())
+    got = minhash.near_duplicates(docs, k=5).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(_groups(rows, 5))
+
+
+def test_scratch_needs_a_shared_folder():
+    class Away:
+        class conf:
+            get = staticmethod(lambda *_: None)
+
+        class sparkContext:
+            master = "spark://host:7077"
+
+            class _jsc:
+                sc = staticmethod(lambda: type("S", (), {"getCheckpointDir": staticmethod(lambda: type("O", (), {"isDefined": staticmethod(lambda: False)}))}))
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        shared_folder(Away)
+
+
 def test_many_copies(spark):
     base = " ".join(f"w{i}" for i in range(80))
     rows = [(i, base) for i in range(300, 100, -1)] + [(i, base.replace(f"w{i} ", "x ")) for i in range(40)]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import re
 import zlib
 from collections import Counter
@@ -81,6 +82,22 @@ def test_compression_bands():
     assert kept == [True, False, False]
 
 
+@pytest.mark.parametrize("size,chunks", [(0, []), (4096, []), (4097, [4096, 1]), (8191, [4096, 4095]), (8192, [4096] * 2), (12287, [4096, 4096, 4095])])
+def test_all_bytes_are_chunked(size, chunks):
+    whole, each = compression_rules.ratios(b"q" * size, zlib.compress)
+    assert (whole is None) == (size == 0) and [n for n, _ in each] == chunks
+
+
+def test_chunk_limits_depend_on_length():
+    rng = np.random.default_rng(2)
+    prose = " ".join("".join(rng.choice(list("abcdeilnorst"), rng.integers(2, 9))) for _ in range(700))[:3000]
+    code = base64.b64encode(rng.bytes(4000)).decode()  # words of 60, whose bytes do not compress
+    spaced = " ".join(code[i : i + 60] for i in range(0, len(code), 60))
+    batch = pa.record_batch({"doc_id": pa.array([1, 2], pa.int64()), "text": [spaced[:4096] + prose, prose]})
+    rows = [r for b in compression_rules.score_batches([batch]) for r in b.to_pylist()]
+    assert [(r["n_chunks"], r["n_bad_chunks"], r["kept"]) for r in rows] == [(2, 1, False), (0, 0, True)]
+
+
 def _shingles(text, k):
     words = WORD.findall((text or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))
     return {tuple(words[i : i + k]) for i in range(len(words) - k + 1)} if len(words) >= k else {tuple(words)} if words else set()
@@ -227,7 +244,10 @@ def test_pairwise_ranking():
     m = bradley_terry.fit(good, bad)
     assert (bradley_terry.strength(m, good).mean() - bradley_terry.strength(m, bad).mean()) > 2
     assert bradley_terry.fit(good, bad[:0])["w"] is None
-    assert bradley_terry.cut_from_counts(0.0, 1.0, np.array([5, 1, 0, 0, 0]), np.array([0, 0, 0, 0, 9])) == 3.0
+    bad, good = np.array([5, 1, 0, 0, 0]), np.array([0, 0, 0, 0, 9])
+    low, high = np.array([-9.0, 1.0, np.nan, np.nan, 4.0]), np.array([0.5, 2.0, np.nan, np.nan, 1e9])
+    assert bradley_terry.cut_from_counts(bad, good, low, high) == 3.0
+    assert bradley_terry.cut_from_counts(good * 0, good, low, high) <= 4.0 and bradley_terry.cut_from_counts(bad, bad * 0, low, high) > 2.0
 
 
 def test_convolution_gradient_learns_bigrams():
