@@ -360,7 +360,8 @@ def test_rules(spark, docs, edge, nothing):
     assert compression_rules.compression_rules(nothing).count() == 0
 
 
-def _scores(rows, trains):
+def _scores(rows, trains, exact=False):
+    """Counts and scores; exact: without the rounding of probabilities to 1/64 of a decade."""
     tokens = [WORD.findall((t or "").translate(LOW)) + ["\n"] for t in rows]
     uni, pairs, starts = Counter(), Counter(), 0
     for w, t in zip(tokens, trains, strict=True):
@@ -370,11 +371,13 @@ def _scores(rows, trains):
             starts += 1
     total, size = sum(uni.values()), len(uni)
     p0 = lambda w: (uni[w] + 0.5) / (total + 0.5 * (size + 1))
-    joint = lambda n: float(lm.restore(lm.quantise(np.array([n / total])))[0]) * total if n else 0.0
     seen = lambda v: starts if v == " " else uni[v]
-    return total, [
-        (len(w), sum(uni[x] > 0 for x in w), sum(log10(p0(x)) for x in w), sum(log10((joint(pairs[v, x]) + lm.MU * p0(x)) / (seen(v) + lm.MU)) for v, x in zip([" ", *w], w, strict=False))) for w in tokens
-    ]
+    rounded = lambda p: 10 ** (round(log10(p) * 64) / 64) if p and exact is False else p
+
+    def log_p(v, w):
+        return log10(rounded(pairs[v, w] / (seen(v) + 400)) + 400 * p0(w) / (seen(v) + 400))
+
+    return total, [(len(w), sum(uni[x] > 0 for x in w), sum(log10(p0(x)) for x in w), sum(log_p(v, x) for v, x in zip([" ", *w], w, strict=False))) for w in tokens]
 
 
 def test_language_model(spark, texts):
@@ -386,9 +389,14 @@ def test_language_model(spark, texts):
         assert (r.n_tokens, r.n_known, r.train_tokens) == (n, known, total)
         assert r.base_score == pytest.approx(base, abs=1e-6) and r.score == pytest.approx(score, abs=1e-6)
         assert r.held_out == (zlib.crc32(str(i).encode()) % 5 == 1)
+    _, plain = _scores([texts[i] for i in ids], [zlib.crc32(str(i).encode()) % 5 != 1 for i in ids], exact=True)
+    assert all(abs(got[i].score - score) <= n / 128 for i, (n, _, _, score) in zip(ids, plain, strict=True))
 
 
-def test_language_model_in_many_shards(spark, texts, monkeypatch):
+@pytest.mark.parametrize("fan", [256, 5])
+def test_language_model_in_many_shards(spark, texts, monkeypatch, fan):
+    """With a fan of 5, requests pass three rounds of lanes."""
+    monkeypatch.setattr(lm, "FAN", fan)
     monkeypatch.setattr(lm, "BLOCK_BYTES", 1 << 14)
     monkeypatch.setattr(lm, "HOT", 64)
     ids = sorted(texts)[:60]

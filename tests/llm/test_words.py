@@ -163,37 +163,91 @@ def test_meeting_joins_what_links(sets, cut):
 def test_elias_fano(values, shift):
     v = np.sort(np.array([x >> shift for x in values], np.uint64))
     s = elias_fano.Sequence(b"pad" + elias_fano.encode(v) + b"tail", 3)
-    assert s.all().tolist() == v.tolist()
-    assert [s.get(i) for i in range(len(v))] == v.tolist()
-    for x in {0, 5, *v.tolist(), *(int(x) + 1 for x in v if x < 2**64 - 1)}:
-        assert s.successor(x) == int(np.searchsorted(v, np.uint64(x)))
-    if len(v):
-        u = np.unique(v)
-        t = elias_fano.Sequence(elias_fano.encode(u))
-        assert t.many(u).tolist() == list(range(len(u)))
-        assert (t.many(np.array([x + np.uint64(1) for x in u if x + np.uint64(1) not in u], np.uint64)) == -1).all()
+    assert s.get(np.arange(len(v))).tolist() == v.tolist()
+    asked = sorted({0, 5, 2**64 - 1, *v.tolist(), *(int(x) + 1 for x in v if x < 2**64 - 1)})
+    at, hit = s.search(np.array(asked, np.uint64))
+    assert at.tolist() == np.searchsorted(v, np.array(asked, np.uint64)).tolist()
+    assert hit.tolist() == [x in v.tolist() for x in asked]
+    for begin, end in ((0, len(v) // 2), (len(v) // 3, len(v)), (len(v) // 2, len(v) // 2)):
+        at, hit = s.search(np.array(asked, np.uint64), begin, end)
+        assert at.tolist() == (begin + np.searchsorted(v[begin:end], np.array(asked, np.uint64))).tolist()
+        assert hit.tolist() == [x in v[begin:end].tolist() for x in asked]
+    assert all((s.find(np.array(asked, np.uint64)) >= 0) == [x in v.tolist() for x in asked])
+
+
+def test_elias_fano_is_compact():
+    rng = np.random.default_rng(4)
+    for n, top in ((100_000, 2**40), (100_000, 2**63), (50_000, 60_000)):
+        v = np.sort(rng.integers(0, top, n).astype(np.uint64))
+        raw = elias_fano.encode(v)
+        assert 8 * len(raw) / n <= 2 + max(np.log2(top / n), 0) + 2.1  # high and low bits, and the directory
+        s = elias_fano.Sequence(raw)
+        some = rng.integers(0, n, 5000)
+        assert (s.get(some) == v[some]).all()
+        at, hit = s.search(v[some])
+        assert hit.all() and (at == np.searchsorted(v, v[some])).all()
 
 
 def test_trie(tmp_path):
     rng = np.random.default_rng(2)
     contexts = np.unique(rng.integers(20, 2**63, 50, dtype=np.uint64))
     word_pool = rng.integers(20, 2**63, 30, dtype=np.uint64)
-    context, word = rng.integers(0, len(contexts) - 1, 800), word_pool[rng.integers(0, 29, 800)]
-    n = rng.integers(1, 9, 800)
-    lm.Trie.write(str(tmp_path / "t"), contexts, context, word, n, int(n.sum()))
-    t, counts = lm.Trie(str(tmp_path / "t")), Counter()
-    for c, w, k in zip(context.tolist(), word.tolist(), n.tolist(), strict=True):
-        counts[int(contexts[c]), w] += k
-    for c in [*contexts.tolist(), 7]:
-        for w in [*word_pool.tolist(), 9]:
-            code = t.code(c, w)
-            p = float(lm.restore(np.array([code]))[0])
-            assert (code == 0) == (counts[c, w] == 0)
-            assert not code or abs(np.log10(p) - np.log10(counts[c, w] / n.sum())) <= 0.5 / lm.STEPS + 1e-9
-            assert t.codes_of(np.array([c], np.uint64), np.array([0]), np.array([w], np.uint64))[0] == code
+    pairs = sorted({(int(c), int(w)) for c, w in zip(rng.integers(0, len(contexts) - 1, 800), rng.integers(0, 29, 800), strict=True)})
+    context, word, p = np.array([c for c, _ in pairs]), word_pool[[w for _, w in pairs]], rng.uniform(1e-6, 1, len(pairs))
+    lm.Trie.write(str(tmp_path / "t"), contexts, context, word, p)
+    t, held = lm.Trie(str(tmp_path / "t")), {(int(contexts[c]), int(w)): x for c, w, x in zip(context, word, p, strict=True)}
+    every = np.array([*contexts.tolist(), 7], np.uint64)
+    for few in (True, False):  # one at a time, and all at once
+        asked = [(i, w) for i in range(len(every)) for w in [*word_pool.tolist(), 9]]
+        at, words = np.array([i for i, _ in asked]), np.array([w for _, w in asked], np.uint64)
+        codes = np.array([t.codes_of(every, at[k : k + 1], words[k : k + 1])[0] for k in range(len(asked))]) if few else t.codes_of(every, at, words)
+        for (i, w), code, got in zip(asked, codes.tolist(), lm.restore(codes).tolist(), strict=True):
+            want = held.get((int(every[i]), w))
+            assert (code == 0) == (want is None) and (want is None or abs(np.log10(got / want)) <= 0.5 / 64 + 1e-9)
     t.close()
 
 
+def test_requests_combine_and_answers_come_back():
+    """Asks dealt to lanes, combined, dealt again: every count and code reaches its asker."""
+    rng, shards = np.random.default_rng(3), 37
+    hot = np.sort(rng.integers(20, 2**63, 3, dtype=np.uint64))
+    pool = np.concatenate((hot, rng.integers(20, 2**63, 40, dtype=np.uint64), np.array([1, 2], np.uint64)))
+    asks = []
+    for _ in range(4):
+        token = rng.integers(0, len(pool) - 2, 200)
+        asks.append(lm.Bigrams(pool, token, np.array([50, 0, 150]), np.array([True, True, False])))
+    value = lambda a: (a.words[a.context] ^ tb.mix(a.pair_word)) % np.uint64(50_000)
+    lanes = {}
+    for i, a in enumerate(asks):
+        for lane, raw in a.deal(shards, 10, hot).requests(hot):
+            lanes.setdefault(lane, []).append((i, raw))
+    answers = {i: [] for i in range(len(asks))}
+    total = {}
+    for lane, rows in lanes.items():
+        both = lm.Combined([lm.read_request(raw, hot) for _, raw in rows])
+        dealt = both.deal(shards, 1, hot)
+        inside = []
+        for shard, raw in dealt.requests(hot):
+            assert shard // 10 == lane
+            last = lm.Combined([lm.read_request(raw, hot)])
+            for c, w, n in zip(last.words[last.context].tolist(), last.pair_word.tolist(), last.pair_n.tolist(), strict=True):
+                assert (c, w) not in total
+                total[c, w] = n
+            inside.append((shard, last.answers(last.n, value(last))[0]))
+        n, codes = dealt.gather([x for x, _ in inside], [x for _, x in inside])
+        for (i, _), raw in zip(rows, both.answers(n, codes), strict=True):
+            answers[i].append((lane, raw))
+    want_n, want_pairs = np.zeros(len(pool), np.int64), Counter()
+    for a in asks:
+        want_n += a.n
+        for c, w, n in zip(a.words[a.context].tolist(), a.pair_word.tolist(), a.pair_n.tolist(), strict=True):
+            want_pairs[c, w] += n
+    assert total == want_pairs
+    for i, a in enumerate(asks):
+        n, codes = a.deal(shards, 10, hot).gather([x for x, _ in answers[i]], [x for _, x in answers[i]])
+        assert n.tolist() == np.where(a.home, want_n, 0).tolist() and codes.tolist() == value(a).tolist()
+
+
 @pytest.fixture(scope="module")
 def encoder():
     return Encoder(tokenizer_path(), 2, limit=50)
