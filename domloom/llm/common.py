@@ -14,7 +14,7 @@ SPACE = r"\x20\x09-\x0D"
 WORD = f"[^{SPACE}]+"
 
 #: Documents are long rows: so many of them, and of their bytes (one row at least), go to a Python worker at once.
-BATCH_ROWS, BATCH_BYTES = 1500, 1 << 24
+BATCH_ROWS, BATCH_BYTES = 1500, 1 << 22
 
 _scratch: dict[int, str] = {}
 

@@ -19,7 +19,7 @@ word, takes the context's range from the pointers, and searches that range for t
 successor of the context-relative number ``context * vocabulary + word``.  All of this
 works on the compressed levels, for many bigrams at once; no level is decoded.
 
-1. Texts are cut into blocks of about 8 MB; each block's distinct words by frequency,
+1. Texts are cut into blocks of about 4 MB; each block's distinct words by frequency,
    and its tokens as numbers among them, are written to the shared folder once.
 2. A bigram lives in the shard of its context, unless the context is hot (more than
    1/2^17 of the tokens as summed over the blocks where it is that frequent - at most
@@ -59,7 +59,7 @@ from . import elias_fano
 from . import textbytes as tb
 from .common import documents, fold, shared_folder, stage
 
-BLOCK_BYTES = 1 << 23
+BLOCK_BYTES = 1 << 22
 SHARD_TOKENS, LEAST_SHARDS = 2_000_000, 64
 FAN = 256
 HOT = 1 << 17
