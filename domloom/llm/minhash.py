@@ -26,9 +26,8 @@ Groups, not pairs:
   links, each step a written table.
 
 What is shuffled: 16 bytes per node and band, twice; and the texts of nodes that
-share a bucket with another, a hot leader's once for ``FOLLOWERS`` others.  Hot nodes
-of the link graph are broadcast (their number has a proven bound); hot buckets sit in
-equi-joins that adaptive execution can split.
+share a bucket with another.  Hot buckets, leaders, hubs and copies sit in equi-joins
+of shuffled tables, which adaptive execution can split.
 
 Defined cases: fewer words than k make one shingle of the whole sequence; a null,
 empty or blank text has an empty set, is linked with nothing and is kept; rows
@@ -54,8 +53,8 @@ from .common import WORD, documents, shared_folder, stage
 BANDS, ROWS = 60, 7
 UNIVERSE = 1 << 20
 FEW = 24
-#: Shingles in a block of nodes (a node at least), nodes that may be hot, and followers that share one copy of a leader's text.
-BLOCK_SHINGLES, HOT_SHARE, FOLLOWERS = 1 << 21, 1 << 12, 256
+#: Shingles in a block of nodes (a node at least).
+BLOCK_SHINGLES = 1 << 21
 _U = np.uint64
 
 
@@ -210,19 +209,6 @@ def _meet(k: int, percent: int) -> Callable:
     return meet
 
 
-def _with_least(edges: DataFrame, n: int) -> DataFrame:
-    """Edges (u, v), n of them, with m: the least neighbour of u.
-
-    A node of more than one in HOT_SHARE of the edges is hot: fewer than HOT_SHARE are, so they
-    are broadcast, and no key of the other join holds more than that.
-    """
-    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("c"))
-    limit = max(FEW, n // HOT_SHARE)
-    hot = F.broadcast(least.where(F.col("c") > limit).select("u", "m"))
-    rest = edges.join(hot.select("u"), "u", "left_anti").join(least.where(F.col("c") <= limit).select("u", "m"), "u")
-    return edges.join(hot, "u").unionByName(rest)
-
-
 def connected(links: DataFrame, folder: str, name: str) -> DataFrame:
     """(node, root) of every node with a link (a, b): root is the least node reachable."""
     edges = stage(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), f"{name}-0", folder)
@@ -231,10 +217,13 @@ def connected(links: DataFrame, folder: str, name: str) -> DataFrame:
     while (now := measure(edges)) != seen:
         seen, k = now, k + 1
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _with_least(both, 2 * now[0]).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).where("u <> v").distinct()
+        # a written table, not an aggregate that lies where the join wants it: so adaptive execution can split a hub
+        least = stage(both.groupBy("u").agg(F.min("v").alias("m")), f"{name}-{k}l", folder)
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).where("u <> v").distinct()
         large = stage(large, f"{name}-{k}a", folder)
-        small = _with_least(large, now[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        edges = stage(small.unionAll(large.groupBy("u").agg(F.min("v").alias("v"))).distinct(), f"{name}-{k}b", folder)
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionAll(least.select("u", F.col("m").alias("v")))
+        edges = stage(small.distinct(), f"{name}-{k}b", folder)
     roots = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.unionAll(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
@@ -289,14 +278,8 @@ def _roots(docs: DataFrame, nodes: DataFrame, members: DataFrame, k: int, percen
 
     def links(pairs: DataFrame, name: str) -> DataFrame:
         a, b = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-        # a hot leader's text is copied once for so many followers, each copy to a key of its own; fewer than HOT_SHARE are hot
-        hot = pairs.groupBy("a").agg(F.count("*").alias("c")).where(F.col("c") > max(FOLLOWERS, pairs.count() // HOT_SHARE))
-        hot = F.broadcast(hot.select("a", F.ceil(F.col("c") / FOLLOWERS).cast("int").alias("copies")))
-        copies = F.coalesce("copies", F.lit(1))
-        a = a.join(hot, "a", "left").select("a", "text_a", F.explode(F.sequence(F.lit(0), copies - 1)).alias("copy"))
-        dealt = pairs.join(hot, "a", "left").select("a", "b", F.pmod(F.xxhash64("b", F.lit(5)), copies).cast("int").alias("copy"))
-        joined = dealt.join(b, "b").join(a, ["a", "copy"])
-        return stage(joined.select("a", "b", "text_a", "text_b").mapInArrow(tb.tidy(_confirm(k, percent)), "a long, b long"), name, folder)
+        # both tables are written ones, so adaptive execution can split a hot leader's followers
+        return stage(pairs.join(b, "b").join(a, "a").select("a", "b", "text_a", "text_b").mapInArrow(tb.tidy(_confirm(k, percent)), "a long, b long"), name, folder)
 
     # first round: everyone against the least node of the bucket
     asked = stage(members.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), "asked-1", folder)
@@ -346,6 +329,7 @@ def _grouped(docs: DataFrame, k: int, percent: int, bands: int, rows: int) -> Da
         least = nodes.join(roots, "node").groupBy("root").agg(F.min("doc_id").alias("component_id"))
         known = nodes.select("node", "doc_id").join(roots.join(least, "root"), "node", "left")
         component = known.select("node", F.coalesce("root", "node").alias("root"), F.coalesce("component_id", "doc_id").alias("component"))
+    component = stage(component, "components", folder)  # written, so that many copies of one text can be split
     out = table.select("doc_id", "text_key", "n_shingles", "node").join(component, "node", "left")
     linked = F.col("n_shingles") > 0
     own = F.when(linked, F.col("component")).otherwise(F.col("doc_id"))

@@ -142,6 +142,14 @@ def grouped_unique(group: np.ndarray, value: np.ndarray, n_groups: int) -> tuple
     return v[keep], np.searchsorted(g[keep], np.arange(n_groups + 1))
 
 
+def release() -> None:
+    """Give freed memory back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
 def tidy(f: Callable) -> Callable:
     """f, a function of batches, that gives freed memory back to the system when a task ends: workers live on."""
 
@@ -149,9 +157,6 @@ def tidy(f: Callable) -> Callable:
         try:
             yield from f(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
-            if trim:
-                trim(0)
+            release()
 
     return run

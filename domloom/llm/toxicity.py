@@ -207,7 +207,10 @@ def learn(docs: DataFrame, trains: DataFrame, *, sample_rows: int = SAMPLE_ROWS,
     before = texts.select("doc_id", "label", F.octet_length("text").alias("size")).withColumn("before", F.coalesce(F.sum("size").over(order), F.lit(0)))
     fits = before.where(F.col("before") < sample_bytes).select("doc_id", "label").distinct()
     both = texts.join(F.broadcast(fits), ["doc_id", "label"], "left_semi").orderBy("label", F.xxhash64("doc_id"), "doc_id").select("text", "label").toArrow()
-    return fit(both.column("text").combine_chunks(), both.column("label").to_numpy().astype(np.int64))
+    model = fit(both.column("text").combine_chunks(), both.column("label").to_numpy().astype(np.int64))
+    del both
+    tb.release()
+    return model
 
 
 def score_all(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
