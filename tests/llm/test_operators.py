@@ -193,15 +193,6 @@ def test_repeated_ids_are_judged_by_their_texts(spark):
     assert sorted((r.doc_id or 0, r.text or "") for r in kept) == sorted([(1, a), (5, b), (9, ""), (9, ""), (9, ""), (0, a)])
 
 
-def test_hot_leaders_and_hubs(spark, monkeypatch):
-    """A hub's texts and links dealt over keys of their own give the same groups."""
-    for name, value in (("HOT_SHARE", 4), ("FOLLOWERS", 3), ("FEW", 2)):
-        monkeypatch.setattr(minhash, name, value)
-    rows = _near(7, 6)
-    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k=2).collect()
-    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(_groups(rows, 2))
-
-
 def test_recall_on_documents(spark, docs, texts):
     """All links of an exhaustive search are found."""
     rows = sorted(texts.items())
