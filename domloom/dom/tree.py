@@ -96,6 +96,19 @@ class Tree:
                 sib[i], of_type[i] = k, seen[self.tag[i]]
         return sib, of_type
 
+    @cached_property
+    def of_type(self) -> list[int]:
+        """How many siblings, itself included, have the node's tag."""
+        out = [1] * len(self)
+        for kids in self.children:
+            if len(kids) > 1:
+                count: dict[str, int] = {}
+                for i in kids:
+                    count[self.tag[i]] = count.get(self.tag[i], 0) + 1
+                for i in kids:
+                    out[i] = count[self.tag[i]]
+        return out
+
     def attr(self, i: int, name: str, default: str | None = None) -> str | None:
         names = self.names[i]
         return self.values[i][names.index(name)] if name in names else default

@@ -248,92 +248,147 @@ def _siblings(tree: Tree, i: int) -> list[int]:
     return tree.children[tree.parent[i]] if tree.parent[i] >= 0 else [i]
 
 
-def pseudo_holds(tree: Tree, i: int, p: Pseudo, scope: int) -> bool:
-    same = lambda: [k for k in _siblings(tree, i) if tree.tag[k] == tree.tag[i]]
-    match p.name:
-        case "not":
-            return not any(matches(tree, i, c, scope) for c in p.argument)
-        case "is":
-            return any(matches(tree, i, c, scope) for c in p.argument)
-        case "has":
-            last = tree.end[tree.parent[i]] if tree.parent[i] >= 0 and any(c.combinators and c.combinators[0] in "+~" for c in p.argument) else tree.end[i]
-            return any(matches(tree, k, c, i) for k in range(i + 1, last + 1) for c in p.argument)
-        case "contains":
-            return p.argument in tree.string(i)
-        case "lang":
-            for k in (i, *tree.ancestors(i)):
-                if (lang := tree.attr(k, "lang")) is not None:
-                    return lang.lower() == p.argument.lower() or lang.lower().startswith(p.argument.lower() + "-")
+class Matcher:
+    """Matches compounds and chains of one tree; what a chain selects is worked out once for all nodes."""
+
+    def __init__(self, tree: Tree, scope: int = 0) -> None:
+        self.tree, self.scope = tree, scope
+        self.chains: dict[int, tuple[Complex, bytearray]] = {}
+        self.marks: dict[int, tuple[Compound, bytearray]] = {}
+
+    def pseudo(self, i: int, p: Pseudo) -> bool:
+        tree = self.tree
+        match p.name:
+            case "not":
+                return not any(self.ends(i, c) for c in p.argument)
+            case "is":
+                return any(self.ends(i, c) for c in p.argument)
+            case "has":
+                return any(self.has(i, c) for c in p.argument)
+            case "contains":
+                return p.argument in tree.string(i)
+            case "lang":
+                for k in (i, *tree.ancestors(i)):
+                    if (lang := tree.attr(k, "lang")) is not None:
+                        return lang.lower() == p.argument.lower() or lang.lower().startswith(p.argument.lower() + "-")
+                return False
+            case "first-child":
+                return tree.place[0][i] == 1
+            case "last-child":
+                return tree.place[0][i] == len(_siblings(tree, i))
+            case "only-child":
+                return len(_siblings(tree, i)) == 1
+            case "first-of-type":
+                return tree.place[1][i] == 1
+            case "last-of-type":
+                return tree.place[1][i] == tree.of_type[i]
+            case "only-of-type":
+                return tree.of_type[i] == 1
+            case "nth-child":
+                return _nth(*p.argument, tree.place[0][i])
+            case "nth-of-type":
+                return _nth(*p.argument, tree.place[1][i])
+            case "nth-last-child":
+                return _nth(*p.argument, len(_siblings(tree, i)) + 1 - tree.place[0][i])
+            case "nth-last-of-type":
+                return _nth(*p.argument, tree.of_type[i] + 1 - tree.place[1][i])
+            case "empty":
+                return not tree.children[i] and not tree.text[i]
+            case "root":
+                return tree.parent[i] < 0
+            case "scope":
+                return i == self.scope
+            case "link" | "any-link":
+                return tree.tag[i] in ("a", "area", "link") and "href" in tree.names[i]
+            case "checked":
+                return tree.tag[i] in ("input", "option") and ("checked" in tree.names[i] or "selected" in tree.names[i])
+            case "disabled" | "enabled":
+                return tree.tag[i] in ("button", "input", "select", "textarea", "option", "optgroup", "fieldset") and ("disabled" in tree.names[i]) == (p.name == "disabled")
+        raise ExpressionError(f"unknown pseudo-class :{p.name}")
+
+    def compound(self, i: int, c: Compound) -> bool:
+        tree = self.tree
+        if tree.tag[i] == "#comment" or c.tag not in ("*", tree.tag[i]):
             return False
-        case "first-child":
-            return tree.place[0][i] == 1
-        case "last-child":
-            return _siblings(tree, i)[-1] == i
-        case "only-child":
-            return len(_siblings(tree, i)) == 1
-        case "first-of-type":
-            return tree.place[1][i] == 1
-        case "last-of-type":
-            return same()[-1] == i
-        case "only-of-type":
-            return len(same()) == 1
-        case "nth-child":
-            return _nth(*p.argument, tree.place[0][i])
-        case "nth-of-type":
-            return _nth(*p.argument, tree.place[1][i])
-        case "nth-last-child":
-            return _nth(*p.argument, len(_siblings(tree, i)) + 1 - tree.place[0][i])
-        case "nth-last-of-type":
-            return _nth(*p.argument, len(same()) + 1 - tree.place[1][i])
-        case "empty":
-            return not tree.children[i] and not tree.text[i]
-        case "root":
-            return tree.parent[i] < 0
-        case "scope":
-            return i == scope
-        case "link" | "any-link":
-            return tree.tag[i] in ("a", "area", "link") and "href" in tree.names[i]
-        case "checked":
-            return tree.tag[i] in ("input", "option") and ("checked" in tree.names[i] or "selected" in tree.names[i])
-        case "disabled" | "enabled":
-            return tree.tag[i] in ("button", "input", "select", "textarea", "option", "optgroup", "fieldset") and ("disabled" in tree.names[i]) == (p.name == "disabled")
-    raise ExpressionError(f"unknown pseudo-class :{p.name}")
-
-
-def compound_holds(tree: Tree, i: int, c: Compound, scope: int) -> bool:
-    if tree.tag[i] == "#comment" or c.tag not in ("*", tree.tag[i]):
-        return False
-    return all(attribute_holds(t, tree.attr(i, t.name)) if isinstance(t, Attribute) else pseudo_holds(tree, i, t, scope) for t in c.tests)
-
-
-def matches(tree: Tree, i: int, c: Complex, scope: int = 0, at: int | None = None) -> bool:
-    """Whether node i ends a chain of c's compounds; searched from right to left."""
-    at = len(c.compounds) - 1 if at is None else at
-    if not compound_holds(tree, i, c.compounds[at], scope):
-        return False
-    if not at:
-        return True
-    match c.combinators[at - 1]:
-        case ">":
-            near = [tree.parent[i]] if tree.parent[i] >= 0 else []
-        case " ":
-            near = tree.ancestors(i)
-        case kind:
-            kids = _siblings(tree, i)
-            before = kids[: kids.index(i)]
-            near = before[-1:] if kind == "+" else before[::-1]
-    return any(matches(tree, k, c, scope, at - 1) for k in near)
+        return all(attribute_holds(t, tree.attr(i, t.name)) if isinstance(t, Attribute) else self.pseudo(i, t) for t in c.tests)
+
+    def has(self, i: int, c: Complex) -> bool:
+        """Whether something relative to i ends the chain."""
+        tree = self.tree
+        if not c.combinators or not any(isinstance(t, Pseudo) and t.name == "scope" for t in c.compounds[0].tests):
+            return self.all_ends(c).find(1, i + 1, tree.end[i] + 1) >= 0
+        # the first compound is the scope, i itself
+        kind, rest = c.combinators[0], c.compounds[1:]
+        last = tree.end[tree.parent[i]] if kind in "+~" and tree.parent[i] >= 0 else tree.end[i]
+        if len(rest) > 1:  # the chain is worked out inside the part of the tree that it can reach
+            return Matcher(tree, i).all_ends(c, i, last).find(1, i + 1, last + 1) >= 0
+        if kind == " ":
+            if id(rest[0]) not in self.marks:
+                self.marks[id(rest[0])] = rest[0], self.holding(rest[0], range(len(tree)))
+            return self.marks[id(rest[0])][1].find(1, i + 1, last + 1) >= 0
+        if kind == ">":
+            near = tree.children[i]
+        else:
+            place = tree.place[0][i]
+            near = _siblings(tree, i)[place : place + 1 if kind == "+" else None]
+        return any(self.compound(k, rest[0]) for k in near)
+
+    def ends(self, i: int, c: Complex) -> bool:
+        """Whether node i ends a chain of c's compounds."""
+        return self.compound(i, c.compounds[0]) if len(c.compounds) == 1 else bool(self.all_ends(c)[i])
+
+    def all_ends(self, c: Complex, first: int = 0, stop: int | None = None) -> bytearray:
+        """Marks of the nodes that end the chain, worked out from left to right.
+
+        Each step passes the nodes once: a mark is handed to the children, down the
+        subtree, to the next sibling or to all later ones.
+        """
+        if id(c) in self.chains:
+            return self.chains[id(c)][1]
+        tree, n = self.tree, len(self.tree)
+        nodes = range(first, n if stop is None else stop + 1)
+        found = self.holding(c.compounds[0], nodes)
+        for kind, compound in zip(c.combinators, c.compounds[1:], strict=True):
+            near = bytearray(n)  # nodes that stand to a marked one as the combinator asks
+            parent = tree.parent
+            if kind in " >":
+                for k in nodes:
+                    p = parent[k]
+                    if p >= 0 and (found[p] or kind == " " and near[p]):
+                        near[k] = 1
+            else:
+                for p in dict.fromkeys(parent[k] for k in nodes if found[k]):
+                    before = 0
+                    for k in tree.children[p] if p >= 0 else ():
+                        near[k] = before
+                        before = found[k] if kind == "+" else found[k] or before
+            found = self.holding(compound, nodes, near)
+        self.chains[id(c)] = c, found
+        return found
+
+    def holding(self, c: Compound, nodes: range, among: bytearray | None = None) -> bytearray:
+        tree, out = self.tree, bytearray(len(self.tree))
+        pool = nodes if c.tag == "*" else tree.by_tag.get(c.tag, ())
+        for k in pool:
+            if k in nodes and (among is None or among[k]) and self.compound(k, c):
+                out[k] = 1
+        return out
 
 
 def select_nodes(tree: Tree, selector: tuple[Complex, ...], context: int = 0) -> list[int]:
     """Nodes of the subtree of context (itself included), in document order, each once."""
     if not len(tree):
         return []
-    stop, found = tree.end[context], set()
+    stop, found, matcher = tree.end[context], set(), Matcher(tree, context)
     for c in selector:
-        tag = c.compounds[-1].tag
-        pool = range(context, stop + 1) if tag == "*" else (k for k in tree.by_tag.get(tag, ()) if context <= k <= stop)
-        found.update(k for k in pool if matches(tree, k, c, context))
+        if len(c.compounds) == 1:
+            tag = c.compounds[0].tag
+            pool = range(context, stop + 1) if tag == "*" else (k for k in tree.by_tag.get(tag, ()) if context <= k <= stop)
+            found.update(k for k in pool if matcher.compound(k, c.compounds[0]))
+        else:
+            ends, k = matcher.all_ends(c), context - 1
+            while (k := ends.find(1, k + 1, stop + 1)) >= 0:
+                found.add(k)
     return sorted(found)
 
 

@@ -65,7 +65,7 @@ def node_columns(tree: Tree, page_id: int, want: Iterable[str], keep: list[int])
             case "n_sib":
                 out[c] = [len(tree.children[tree.parent[i]]) if tree.parent[i] >= 0 else 1 for i in keep]
             case "n_of_type":
-                out[c] = [sum(tree.tag[k] == tree.tag[i] for k in tree.children[tree.parent[i]]) if tree.parent[i] >= 0 else 1 for i in keep]
+                out[c] = [tree.of_type[i] for i in keep]
             case "path":
                 out[c] = [tree.path(i) for i in keep]
             case "anc":
