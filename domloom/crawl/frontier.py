@@ -1,13 +1,15 @@
 """The frontier: requests, fingerprints, de-duplication, priority order, following links.
 
 Requests are rows of ``schemas.REQUESTS`` with ``fp`` (20 bytes) added by ``identify``.
-De-duplication keeps the first request of a fingerprint by ``seq`` (an aggregation
-combined before the shuffle) and drops those already in the table of seen
+De-duplication keeps the first request of a fingerprint by ``seq`` - exactly one, also
+among equal ``seq`` - in one aggregation, and drops those already in the table of seen
 fingerprints by an anti-join on fp; nothing passes through the driver.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -52,19 +54,34 @@ def identify(reqs: DataFrame, *, include_headers: bool = False, keep_fragments:
     return reqs.withColumn("fp", urls.fingerprint("url", sid="sid", method="method", body="body", headers=headers, keep_fragments=keep_fragments))
 
 
-def enqueue(reqs: DataFrame, seen: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(accepted requests, seen afterwards).  Requests with dont_filter always pass; every fingerprint becomes seen."""
+def admit(reqs: DataFrame, seen: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(accepted requests, fingerprints that were not seen before).  Requests with dont_filter always pass."""
     if "fp" not in reqs.columns:
         reqs = identify(reqs)
-    filtered = reqs.where("NOT dont_filter")
-    earlier = reqs.groupBy("fp").agg(F.min("seq").alias("first_seq"))
-    # the first request of a fingerprint passes; one after a dont_filter twin does not
-    fresh = filtered.join(earlier, "fp").where(F.col("seq") == F.col("first_seq")).drop("first_seq").select(*reqs.columns)
+    order = F.struct("seq", "dont_filter", "priority", "url", "sid", "method", "retry_count")
+    first = reqs.groupBy("fp").agg(F.min_by(F.struct(*reqs.columns), order).alias("r"))
     if seen is not None:
-        fresh = fresh.join(seen.select("fp"), "fp", "left_anti").select(*reqs.columns)
-    accepted = fresh.unionByName(reqs.where("dont_filter"))
-    after = earlier.select("fp") if seen is None else seen.select("fp").unionAll(earlier.select("fp")).distinct()
-    return accepted, after
+        first = first.join(seen.select("fp"), "fp", "left_anti")
+    # the first request of a fingerprint passes; one after a dont_filter twin does not
+    fresh = first.where("NOT r.dont_filter").select("r.*")
+    return fresh.unionByName(reqs.where("dont_filter")), first.select("fp")
+
+
+def enqueue(reqs: DataFrame, seen: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(accepted requests, seen afterwards): as admit, with the new fingerprints appended to those seen."""
+    accepted, new = admit(reqs, seen)
+    return accepted, new if seen is None else seen.select("fp").unionAll(new)
+
+
+def numbered(df: DataFrame, order: list[Column], after: int, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """df with ``seq`` from after + 1 on without gaps, in order.
+
+    A sort by range, written by keep so that its rows stand still, and one row a partition for the offsets.
+    """
+    placed = keep(df.drop("seq").orderBy(*order).withColumns({"_p": F.spark_partition_id(), "_r": F.monotonically_increasing_id()}))
+    counts = placed.groupBy("_p").agg(F.count("*").alias("n"), F.min("_r").alias("low"))
+    shift = (F.sum("n").over(W.orderBy("_p")) - F.col("n") - F.col("low") + F.lit(after + 1)).alias("shift")
+    return placed.join(F.broadcast(counts.select("_p", shift)), "_p").withColumn("seq", F.col("_r") + F.col("shift")).drop("_p", "_r", "shift")
 
 
 def dequeue(queue: DataFrame, n: int) -> DataFrame:
@@ -73,7 +90,7 @@ def dequeue(queue: DataFrame, n: int) -> DataFrame:
 
 
 def in_order(queue: DataFrame) -> DataFrame:
-    """Queue positions from 1 by a global sort (a range shuffle) and partition offsets."""
+    """The queue as dequeue would empty it, by a global sort (a range shuffle)."""
     return queue.orderBy(F.desc("priority"), "seq")
 
 
@@ -87,12 +104,17 @@ def next_wave(queue: DataFrame, per_domain: int | None = None, total: int | None
 
 
 def follow(parents: DataFrame, links: DataFrame, *, priority: int | None = None, callback: str | None = None, meta: dict[str, str] | None = None) -> DataFrame:
-    """Requests for links (url, href, seq) of parents (request rows).
+    """Requests for links (url, href, seq, and sid where sessions share pages) of parents (request rows).
 
     The link is resolved against its page; session, callback, priority and headers are
     the parent's unless given, meta is merged (new wins) and the page is the referer.
+    ``place`` orders them: by their parent's seq, then by the link's; ``seq`` is the link's.
     """
-    joined = links.select(F.col("url").alias("l_url"), "href", F.col("seq").alias("l_seq")).join(parents, F.col("l_url") == F.col("url"))
+    keys = ["url", "sid"] if "sid" in links.columns else ["url"]
+    if len(keys) == 1:
+        links = links.dropDuplicates(["url", "href", "seq"])  # of pages that several sessions took
+    found = links.select(*[F.col(k).alias(f"l_{k}") for k in keys], "href", F.col("seq").alias("l_seq"))
+    joined = found.join(parents, [F.col(f"l_{k}") == F.col(k) for k in keys])
     strings = "map<string,string>"
     new_meta = F.create_map(*[F.lit(x) for kv in (meta or {}).items() for x in kv]).cast(strings)
 
@@ -111,5 +133,6 @@ def follow(parents: DataFrame, links: DataFrame, *, priority: int | None = None,
         merged(F.col("meta"), new_meta).alias("meta"),
         (F.lit(callback) if callback else F.col("callback")).alias("callback"),
         F.lit(0).alias("retry_count"),
-        F.xxhash64("url", "href", "l_seq").alias("seq"),
+        F.col("l_seq").cast("long").alias("seq"),
+        F.struct(F.col("seq").alias("parent"), F.col("l_seq").cast("long").alias("link")).alias("place"),
     )

@@ -11,6 +11,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from domloom import schemas
 from domloom.crawl import frontier
+from domloom.functions import http
 
 
 def pages(spark: SparkSession, folder: str, *, schema: str = schemas.PAGES, max_files: int = 100) -> DataFrame:
@@ -19,11 +20,12 @@ def pages(spark: SparkSession, folder: str, *, schema: str = schemas.PAGES, max_
 
 
 def distinct_requests(reqs: DataFrame, *, event_time: str | None = None, ttl: str = "1 day") -> DataFrame:
-    """Requests whose fingerprint was not seen; with an event time, seen within ttl (bounded state), else ever."""
+    """Requests whose fingerprint was not seen (with an event time, seen within ttl: bounded state; else ever), and all with dont_filter."""
     marked = frontier.identify(reqs)
+    marked = marked.withWatermark(event_time, ttl) if event_time else marked
     kept = marked.where("NOT dont_filter")
-    kept = kept.withWatermark(event_time, ttl).dropDuplicatesWithinWatermark(["fp"]) if event_time else kept.dropDuplicates(["fp"])
-    return kept.unionByName(marked.where("dont_filter")) if not event_time else kept
+    kept = kept.dropDuplicatesWithinWatermark(["fp"]) if event_time else kept.dropDuplicates(["fp"])
+    return kept.unionByName(marked.where("dont_filter"))
 
 
 def retry_counts(responses: DataFrame, max_retries: int = 3) -> DataFrame:
@@ -38,7 +40,7 @@ def retry_counts(responses: DataFrame, max_retries: int = 3) -> DataFrame:
         state.setTimeoutDuration(3_600_000)
         yield pd.DataFrame({"url": [key[0]], "attempts": [n], "give_up": [n > max_retries]})
 
-    blocked = responses.where(F.col("status").isin(401, 403, 407, 429, 444, 500, 502, 503, 504))
+    blocked = responses.where(http.is_blocked("status"))
     return blocked.groupBy("url").applyInPandasWithState(count, "url string, attempts long, give_up boolean", "n long", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
