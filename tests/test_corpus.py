@@ -20,14 +20,14 @@ from domloom.selection.api import xpath
 from domloom.sinks import files
 from domloom.sources.pages import pages_of, parse_pages, responses, select, text_nodes, tree_of
 
-from .pages import ADVANCED, NEW, OLD, PRODUCTS
+from .pages import AFTER, BEFORE, BOARD, DIARY
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
 @pytest.fixture(scope="module")
 def shop(spark):
-    return spark.createDataFrame([(1, "https://shop.example/p", PRODUCTS), (2, "https://x.example/", ADVANCED), (3, "https://n.example/", None)], "page_id long, url string, html string")
+    return spark.createDataFrame([(1, "https://bus.example/p", BOARD), (2, "https://x.example/", DIARY), (3, "https://n.example/", None)], "page_id long, url string, html string")
 
 
 @pytest.fixture(scope="module")
@@ -60,25 +60,25 @@ def test_query(spark, sf, duck, name):
 
 
 SELECTORS = [
-    "article",
-    "#products .product",
-    "ul > li > a",
-    "h3 + p",
-    "h3 ~ span",
+    "section",
+    "#board .line",
+    "ol > li > a",
+    "h4 + em",
+    "h4 ~ i",
     "li:first-child",
     "li:nth-child(2n+1)",
     "p:last-of-type",
     "td:only-of-type",
     "*:empty",
-    "article:not([data-id='2'])",
-    'div:not(:contains("stock"))',
-    "section:has(.review)",
+    "section:not([data-no='19'])",
+    'i:not(:contains("left"))',
+    "form:has(.remark)",
     "tr:has(+ tr)",
-    "div:has(> table) p",
-    "h2, .price, h2",
-    "a[href*='o'], a[href$='t']",
+    "article:has(> table) p",
+    "h2, .fare, h2",
+    "a[href*='i'], a[href$='y']",
     ":root",
-    "div:is(.review, .nested) span",
+    "article:is(.bed, .nested) span",
     "li:nth-last-child(1) a",
 ]
 
@@ -87,7 +87,7 @@ SELECTORS = [
 def test_fused_is_relational(shop, nodes, selector):
     found = {(r.page_id, r.pre) for r in relational.css(nodes, selector, texts=text_nodes(shop)).select("page_id", "pre").collect()}
     parsed = css.parse_css(selector)
-    want = {(i, k) for i, h in ((1, PRODUCTS), (2, ADVANCED), (3, None)) for k in css.select_nodes(tree_of(h), parsed)}
+    want = {(i, k) for i, h in ((1, BOARD), (2, DIARY), (3, None)) for k in css.select_nodes(tree_of(h), parsed)}
     assert found == want
 
 
@@ -101,36 +101,36 @@ def test_fused_is_relational_on_all_pages(spark, sf):
 
 
 def test_strings_and_select(shop, nodes):
-    rows = {r.page_id: r.s for r in shop.select("page_id", select("html", ids="article::attr(data-id)", prices=xpath("//span[@class=$c]/text()", c="price")).alias("s")).collect()}
-    assert rows[1].ids == ["1", "2", "3"] and rows[1].prices == ["$10.99", "$20.99", "$15.99"]
+    rows = {r.page_id: r.s for r in shop.select("page_id", select("html", ids="section::attr(data-no)", fares=xpath("//b[@class=$c]/text()", c="fare")).alias("s")).collect()}
+    assert rows[1].ids == ["7", "19", "23", "40"] and rows[1].fares == ["EUR 2.40", "EUR 3.10", "EUR 1.85", "EUR 5.00"]
     assert rows[2].ids == [] and rows[3].ids == []
-    assert sorted(r.value for r in relational.css_strings(nodes, "article::attr(data-id)").collect()) == ["1", "2", "3"]
-    assert sorted(r.value for r in relational.css_strings(nodes, "h3::text").collect()) == ["Product 1", "Product 2", "Product 3"]
-    assert relational.css(nodes, "h3, h3", concatenate=True).count() == 6
-    assert relational.css(nodes, "h3, h3").count() == 3
+    assert sorted(r.value for r in relational.css_strings(nodes, "section::attr(data-no)").collect()) == ["19", "23", "40", "7"]
+    assert sorted(r.value for r in relational.css_strings(nodes, "h4::text").collect()) == ["Harbour", "Haven", "Heath", "Hill"]
+    assert relational.css(nodes, "h4, h4", concatenate=True).count() == 8
+    assert relational.css(nodes, "h4, h4").count() == 4
 
 
 def test_navigation(shop, nodes):
     one = nodes.where("page_id = 1")
-    lst = relational.css(one, ".product-list")
-    assert [r.attrs["id"] for r in navigation.parent(one, lst).collect()] == ["products"]
-    assert navigation.children(one, lst).count() == 3
-    first = one.where(F.element_at("attrs", "data-id") == "1")
-    assert [r.attrs["data-id"] for r in navigation.next_of(one, first).collect()] == ["2"]
+    lst = relational.css(one, ".lines")
+    assert [r.attrs["id"] for r in navigation.parent(one, lst).collect()] == ["board"]
+    assert navigation.children(one, lst).count() == 4
+    first = one.where(F.element_at("attrs", "data-no") == "7")
+    assert [r.attrs["data-no"] for r in navigation.next_of(one, first).collect()] == ["19"]
     assert navigation.previous_of(one, first).count() == 0
-    assert navigation.siblings(one, first).count() == 2
-    price = relational.css(one, ".price")
-    up = navigation.find_ancestor(one, price, attrs.has_class("attrs", "product")).collect()
-    assert len(up) == 3 and {r.tag for r in up} == {"article"}
-    assert {(r.tag, r.distance) for r in navigation.ancestors(one, relational.css(one, "nav")).collect()} == {("header", 1), ("body", 2), ("html", 3)}
-    body = nodes.where("page_id = 2 AND tag = 'div' AND level = 2")
+    assert navigation.siblings(one, first).count() == 3
+    fare = relational.css(one, ".fare")
+    up = navigation.find_ancestor(one, fare, attrs.has_class("attrs", "line")).collect()
+    assert len(up) == 4 and {r.tag for r in up} == {"section"}
+    assert {(r.tag, r.distance) for r in navigation.ancestors(one, relational.css(one, "ol")).collect()} == {("aside", 1), ("body", 2), ("html", 3)}
+    body = nodes.where("page_id = 2 AND tag = 'article' AND level = 2")
     got = navigation.all_text(body, text_nodes(shop), nodes, separator=" | ", strip=True, ignore=("table",)).collect()
-    assert [r.all_text for r in got] == ["First | Second | One | Two"]
-    t = tree_of(PRODUCTS)
+    assert [r.all_text for r in got] == ["May | Sown | Thinned | Rain | Wind"]
+    t = tree_of(BOARD)
     link = t.by_tag["a"][1]
-    assert navigation.css_selector(t, link) == "body > header > nav > ul > li:nth-of-type(2) > a"
-    assert navigation.css_selector(t, t.by_tag["h3"][1]) == "#products > div > article:nth-of-type(2) > h3"
-    assert navigation.xpath_selector(t, t.by_tag["h3"][1]) == "//*[@id='products']/div/article[2]/h3"
+    assert navigation.css_selector(t, link) == "body > aside > ol > li:nth-of-type(2) > a"
+    assert navigation.css_selector(t, t.by_tag["h4"][1]) == "#board > div > section:nth-of-type(2) > h4"
+    assert navigation.xpath_selector(t, t.by_tag["h4"][1]) == "//*[@id='board']/div/section[2]/h4"
     for full in (False, True):
         for i in range(1, len(t)):
             assert css.select_nodes(t, css.parse_css(navigation.css_selector(t, i, full)))[:1] == [i] or not full
@@ -138,12 +138,12 @@ def test_navigation(shop, nodes):
 
 def test_similar(spark, nodes):
     one = nodes.where("page_id = 1")
-    first = one.where(F.element_at("attrs", "data-id") == "1")
-    assert similarity.find_similar(one, first).count() == 2
-    review = one.where(F.element_at("attrs", "data-rating") == "5")
-    assert similarity.find_similar(one, review).count() == 1
-    with_path = parse_pages(spark.createDataFrame([(1, PRODUCTS)], "page_id long, html string"), want=["level", "tag", "attrs", "text", "path"])
-    assert similarity.find_similar(with_path, F.element_at("attrs", "data-id") == "1").count() == 2
+    second = one.where(F.element_at("attrs", "data-no") == "19")
+    assert similarity.find_similar(one, second).count() == 3
+    remark = one.where(F.element_at("attrs", "data-stars") == "5")
+    assert similarity.find_similar(one, remark).count() == 2
+    with_path = parse_pages(spark.createDataFrame([(1, BOARD)], "page_id long, html string"), want=["level", "tag", "attrs", "text", "path"])
+    assert similarity.find_similar(with_path, F.element_at("attrs", "data-no") == "19").count() == 3
     a = {"tag": "p", "attr_names": ["id"], "attr_values": ["x"], "text": "hello", "path": ["html", "body", "p"], "parent_name": "body", "parent_attr_names": [], "parent_attr_values": [], "parent_text": None, "siblings": ["p"], "children": None}
     assert similarity.similarity(a, a) == 100.0
     b = a | {"parent_name": None, "text": None, "siblings": None}
@@ -152,29 +152,29 @@ def test_similar(spark, nodes):
 
 
 def test_adaptive(spark, tmp_path):
-    old = spark.createDataFrame([(1, OLD, "example.com")], "page_id long, html string, site string")
-    new = spark.createDataFrame([(2, NEW, "example.com"), (3, NEW, "other.com")], "page_id long, html string, site string")
+    old = spark.createDataFrame([(1, BEFORE, "museum.example")], "page_id long, html string, site string")
+    new = spark.createDataFrame([(2, AFTER, "museum.example"), (3, AFTER, "other.example")], "page_id long, html string, site string")
     store = ParquetStore(spark, str(tmp_path / "store"))
     assert store.retrieve().count() == 0
-    found = similarity.fingerprints(old, "#p1")
-    store.save(auto_save(found, F.lit("example.com"), "#p1").drop("version"))
-    store.save(auto_save(found, F.lit("example.com"), "#p1").drop("version"))
-    assert store.retrieve("example.com", "#p1").count() == 1
-    rows = similarity.adaptive_select(new, "#p1", store.retrieve()).collect()
-    t = tree_of(NEW)
-    assert [(r.page_id, r.relocated) for r in rows] == [(2, True)]
-    assert t.attr(rows[0].pre, "data-id") == "p1"
-    assert similarity.adaptive_select(new, "#p1", store.retrieve(), percentage=101).count() == 0
-    hits = similarity.adaptive_select(new, "article", store.retrieve()).collect()
-    assert len(hits) == 4 and not any(r.relocated for r in hits)
-    assert similarity.relocate_in(t, similarity.fingerprint_of(t, t.by_tag["h3"][1]))[0] == (t.by_tag["h3"][1], 100.0)
+    found = similarity.fingerprints(old, "#lamp")
+    store.save(auto_save(found, F.lit("museum.example"), "#lamp").drop("version"))
+    store.save(auto_save(found, F.lit("museum.example"), "#lamp").drop("version"))
+    assert store.retrieve("museum.example", "#lamp").count() == 1
+    rows = similarity.adaptive_select(new, "#lamp", store.retrieve()).collect()
+    t = tree_of(AFTER)
+    assert {(r.page_id, r.relocated) for r in rows} == {(2, True)}
+    assert t.tag[rows[0].pre] == "li" and "card" in t.attr(rows[0].pre, "class")
+    assert similarity.adaptive_select(new, "#lamp", store.retrieve(), percentage=101).count() == 0
+    hits = similarity.adaptive_select(new, "li", store.retrieve()).collect()
+    assert len(hits) == 6 and not any(r.relocated for r in hits)
+    assert similarity.relocate_in(t, similarity.fingerprint_of(t, t.by_tag["h5"][1]))[0] == (t.by_tag["h5"][1], 100.0)
     store.compact()
     assert store.retrieve().count() == 1
     assert store.clear("nowhere") == 0 and store.clear() == 1 and store.retrieve().count() == 0
     twice = upsert(spark.createDataFrame([("s", "i", 1, 5)], "site string, identifier string, version long, v int"), spark.createDataFrame([("s", "i", 2, 6)], "site string, identifier string, version long, v int"))
     assert [r.v for r in twice.collect()] == [6]
-    best = similarity.best_match(t, {"tag": "article", "text_content": "", "attributes": {"class": "", "data-id": ""}, "dom_path": "html > body > div > div > section > article"})
-    assert best and best[0] == t.by_tag["article"][0]
+    best = similarity.best_match(t, {"tag": "li", "text_content": "", "attributes": {"class": "", "data-key": ""}, "dom_path": "html > body > main > div > ul > li"})
+    assert best and best[0] == t.by_tag["li"][0]
     assert similarity.best_match(t, {"tag": "nothing"}, 0.9) is None
 
 
@@ -282,8 +282,17 @@ def test_http_functions(spark):
     assert (p["method"], p["headers"], p["cookies"], p["data"], p["proxy"]) == ("post", {"A": "b"}, {"k": "v"}, "x=1", "http://u:p@h:1")
     assert http.parse_curl("curl -G https://a.example -d 'x=1&y=2'")["params"] == {"x": "1", "y": "2"}
     assert http.parse_curl("curl https://a.example --data-urlencode 'a=1' --data-urlencode 'b=2'")["data"] == "a=1&b=2"
-    with pytest.raises(AttributeError):
-        http.parse_curl("curl https://a.example --nothing")
+    for bad in ("curl https://a.example --nothing", "curl a b", "curl -sZ a", "curl --silent=1 a"):
+        with pytest.raises(AttributeError):
+            http.parse_curl(bad)
+    for bad in ("curl a -X", "curl 'a", "curl a -H nothing"):
+        with pytest.raises(ValueError):
+            http.parse_curl(bad)
+    for same in ("curl -skXPOST a --data={}", "curl \\\n a -sk --request POST -d '{}'", "curl a -X post --data-raw '${}'"):
+        assert {k: v for k, v in http.parse_curl(same).items() if v} == {"method": "post", "url": "a", "json_data": "{}", "follow_redirects": True}
+    p = http.parse_curl("curl a --data-binary '[1]' -A me -H 'User-Agent: you' -x 'socks5://q:r@h:2/x' -U u:p --compressed")
+    assert (p["method"], p["data"], p["json_data"], p["headers"], p["proxy"]) == ("post", "[1]", None, {"User-Agent": "you"}, "socks5://u:p@h:2/x")
+    assert spark.createDataFrame([("curl 'https://a.example/x?y' -s",), ("wget a",)], "c string").select(http.curl_url("c").alias("u")).toPandas().u.tolist() == ["https://a.example/x?y", None]
     df = spark.createDataFrame([("http://u:p@h.example:8/",), ("ftp://h",), ("bad",)], "p string")
     rows = [r.c for r in df.select(http.proxy_parts("p").alias("c")).collect()]
     assert (rows[0].server, rows[0].username, rows[0].password) == ("http://h.example:8", "u", "p") and rows[1:] == [None, None]
@@ -306,7 +315,7 @@ def test_sinks(spark, tmp_path, shop):
     assert json.loads((tmp_path / "new" / "a.json").read_text()) == [{"id": 1, "s": "a"}, {"id": 2, "s": "ü"}]
     assert files.write_json_array(items.limit(0), str(tmp_path / "e.json")) == 0 and json.loads((tmp_path / "e.json").read_text()) == []
     files.write_content(shop.where("page_id = 1"), str(tmp_path / "out.txt"))
-    assert "Product 1" in "\n".join(r.value for r in spark.read.text(str(tmp_path / "out.txt")).collect())
+    assert "Harbour" in "\n".join(r.value for r in spark.read.text(str(tmp_path / "out.txt")).collect())
     for bad in ("x.pdf", " ", "x"):
         with pytest.raises(ValueError):
             files.write_content(shop, bad)
@@ -317,10 +326,10 @@ def test_sql_functions(spark, shop):
 
     register(spark)
     shop.where("html IS NOT NULL").createOrReplaceTempView("shop")
-    assert spark.sql("SELECT count(*) AS n FROM shop p, LATERAL dom_nodes(p.html) n WHERE n.tag = 'article'").first().n == 3
-    assert spark.sql("SELECT t.text FROM shop p, LATERAL dom_text(p.html) t WHERE p.page_id = 2 AND t.seq = 0").first().text == "First"
-    r = spark.sql("SELECT css_all(html, 'h3::text') AS a, css_first(html, 'title::text') AS b, xpath_all(html, '//li[2]/a/@href') AS c, url_join(url, '../x') AS d FROM shop WHERE page_id = 1").first()
-    assert (r.a[0], r.b, r.c, r.d) == ("Product 1", "Shop", ["#about"], "https://shop.example/x")
+    assert spark.sql("SELECT count(*) AS n FROM shop p, LATERAL dom_nodes(p.html) n WHERE n.tag = 'section'").first().n == 4
+    assert spark.sql("SELECT t.text FROM shop p, LATERAL dom_text(p.html) t WHERE p.page_id = 2 AND t.seq = 0").first().text == "May"
+    r = spark.sql("SELECT css_all(html, 'h4::text') AS a, css_first(html, 'title::text') AS b, xpath_all(html, '//li[2]/a/@href') AS c, url_join(url, '../x') AS d FROM shop WHERE page_id = 1").first()
+    assert (r.a[0], r.b, r.c, r.d) == ("Harbour", "Departures", ["/mill?zone=2"], "https://bus.example/x")
     assert spark.sql("SELECT html_text('<p>a<p>b') AS t, html_pretty('<p>a') AS p, url_canonical('HTTP://A.example') AS u, url_site('http://x.b.co.uk') AS s").first()[:] == ("a\nb", "<html>\n  <body>\n    <p>a</p>\n  </body>\n</html>", "http://a.example/", "b.co.uk")
 
 

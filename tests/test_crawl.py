@@ -152,6 +152,56 @@ def test_crawl(spark, tmp_path):
         Crawl(Spider(), corpus, str(tmp_path / "z")).start()
 
 
+def test_one_request_of_a_fingerprint(spark):
+    """Equal seq, equal rows and twins of different kinds: one passes, and the seen table gets each fingerprint once."""
+    rows = [("http://a.example/", 1), ("http://a.example/#x", 1), ("http://a.example/", 1), ("http://b.example/", 2, 0, True), ("http://b.example/", 2), ("http://b.example/", 2, 0, True)]
+    accepted, seen = frontier.enqueue(_requests(spark, rows))
+    assert _seqs(accepted.where("NOT dont_filter")) == [1, 2] and accepted.where("dont_filter").count() == 2 and seen.count() == 2
+    again, seen = frontier.enqueue(_requests(spark, rows), seen)
+    assert again.count() == 2 and seen.count() == 2
+
+
+def test_followed_links_keep_their_order(spark, tmp_path):
+    """First in, first out: by the parent's number, then by place; a page of two sessions is followed once for each."""
+    parents = _requests(spark, [("http://a.example/b", 7), ("http://a.example/a", 9)])
+    links = spark.createDataFrame([("http://a.example/a", "/1", 0), ("http://a.example/a", "/2", 1), ("http://a.example/b", "/3", 1), ("http://a.example/b", "/4", 0)], "url string, href string, seq int")
+    kept = lambda df: (df.write.parquet(str(tmp_path / "n")), spark.read.parquet(str(tmp_path / "n")))[1]
+    got = frontier.numbered(frontier.follow(parents, links.union(links).repartition(3)), [F.col("place")], 20, kept).orderBy("seq").collect()
+    assert [(r.seq, r.url[-1]) for r in got] == [(21, "4"), (22, "3"), (23, "1"), (24, "2")]
+    two = parents.unionByName(parents.withColumn("sid", F.lit("s")))
+    both = links.crossJoin(spark.createDataFrame([("",), ("s",)], "sid string"))
+    assert frontier.follow(two, both).groupBy("sid").count().collect() == [("", 4), ("s", 4)] or frontier.follow(two, both).count() == 8
+
+
+class Routed(Spider):
+    start_urls = ("http://a.example/0",)
+    callbacks = ("parse_item",)
+
+    def start_requests(self, spark):
+        return super().start_requests(spark).unionByName(frontier.requests(spark.createDataFrame([("http://a.example/5", "parse_item", 9)], "url string, callback string, seq long")))
+
+    def parse_item(self, responses):
+        return responses.select("url", F.parse_json(F.lit('{"kind": "item"}')).alias("item"))
+
+
+def test_callbacks_and_repeated_corpus_rows(spark, tmp_path):
+    """Requests go to the parser that they name; rows that repeat a page count once."""
+    rows = [(f"http://a.example/{i}", f"<a href='/{i + 1}'>x</a><a href='/{i + 1}#y'>x</a>" if i not in (4, 5) else "") for i in range(6)]
+    corpus = spark.createDataFrame(rows + rows[:1] + [("http://A.example/0#z", rows[0][1])], "url string, html string")
+    result = Crawl(Routed(), corpus, str(tmp_path / "w"), folders=2).start()
+    assert result.completed and result.stats["requests"] == 6 and result.stats["failed"] == 0
+    assert [r.url for r in result.items.where("to_json(item) LIKE '%kind%'").collect()] == ["http://a.example/5"]
+
+
+def test_streamed_requests_with_event_time(spark, tmp_path):
+    reqs = _requests(spark, [("http://a.example/1", 1), ("http://a.example/1", 2), ("http://a.example/1", 3, 0, True)]).withColumn("ts", F.to_timestamp(F.lit("2024-01-01 00:00:00")))
+    reqs.write.parquet(str(tmp_path / "reqs"))
+    for name, options in (("plain_reqs", {}), ("timed_reqs", {"event_time": "ts"})):
+        stream = spark.readStream.schema(reqs.schema).parquet(str(tmp_path / "reqs"))
+        streams.distinct_requests(stream, **options).writeStream.format("memory").queryName(name).trigger(availableNow=True).start().awaitTermination(120)
+        assert spark.table(name).count() == 2 and spark.table(name).where("dont_filter").count() == 1
+
+
 def test_a_wave_limit_pauses(spark, tmp_path):
     class Chain(Spider):
         start_urls = ("http://a.example/0",)
