@@ -14,7 +14,9 @@ is the rows plus queries x blocks.  A second step keeps the k best of the blocks
 best (at most k rows per query and block).
 
 Defined cases: a vector that is null, empty, or holds a null, NaN or infinite
-component takes no part, nor does a row with a null id.  Vectors of different
+component takes no part, nor one whose components overflow a double when scaled, nor a
+row with a null id.  Scores are exact whatever their size; one beyond a long counts as
+the nearest long.  Vectors of different
 lengths are not compared.  Rows that repeat an id are candidates of other ids
 each on its own, never of their own id; as queries they count once (the first
 of the equal vectors; a different vector under the same id adds its candidates
@@ -24,7 +26,8 @@ are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +36,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+LOW, HIGH = -(2**63), 2**63 - 1
+
+
 def pivots(x: np.ndarray, n: int) -> np.ndarray:
     """Farthest-point pivots: each next one is the row farthest from those chosen."""
     chosen = [0]
@@ -52,8 +58,17 @@ def search_block(
 ) -> list[tuple[int, int, int]]:
     """(query id, row id, score) of each query's k best of the block; exact, ties to the smaller id.
 
-    Components are integers held in float64; sums stay far below 2^53.
+    Components are integers held in float64.  Where sums could reach 2^53 they are taken
+    in integers of any length, and bounds on vectors scaled down by a power of two.
     """
+    top = max(float(np.abs(x).max(initial=1)), float(np.abs(q).max(initial=1)))
+    small = np.log2(x.shape[1]) + 2 * np.log2(top) < 52.9
+    whole_x, whole_q, unit = x, q, Fraction(1)
+    if not small:
+        shift = int(np.frexp(top)[1]) - 20
+        x, q, unit = np.ldexp(x, -shift), np.ldexp(q, -shift), Fraction(2) ** (-2 * shift)
+        whole_q = [[int(v) for v in row] for row in whole_q]
+    least = float(LOW * unit)
     p = pivots(x, n_pivots)
     table, asked = distances(x, p), distances(q, p)
     xx, qq = (x * x).sum(1), (q * q).sum(1)
@@ -65,15 +80,19 @@ def search_block(
         bound = (qq[i] + xx - low * low) / 2 + slack + 1e-6 * qq[i]
         bound[ids == query_ids[i]] = -np.inf
         order = np.argsort(-bound, kind="stable")
-        best_s, best_i, at = np.zeros(0), np.zeros(0, np.int64), 0
-        while at < len(order) and bound[order[at]] > -np.inf and (len(best_s) < k or bound[order[at]] >= best_s[-1]):
+        best: list[tuple[int, int]] = []  # (-score, id), ascending
+        at = 0
+        while at < len(order) and bound[order[at]] > -np.inf and (len(best) < k or max(bound[order[at]], least) >= float(-best[-1][0] * unit)):
             rows = order[at : at + step]
             rows = rows[bound[rows] > -np.inf]
-            s = np.concatenate((best_s, x[rows] @ q[i]))
-            d = np.concatenate((best_i, ids[rows]))
-            top = np.lexsort((d, -s))[:k]
-            best_s, best_i, at = s[top], d[top], at + step
-        found += [(int(query_ids[i]), int(d), int(s)) for d, s in zip(best_i, best_s, strict=True)]
+            if small:
+                s = -(x[rows] @ q[i])
+                near = np.lexsort((ids[rows], s))[:k]
+                new = [(int(a), int(b)) for a, b in zip(s[near], ids[rows][near], strict=True)]
+            else:
+                new = [(-max(LOW, min(HIGH, sum(int(a) * b for a, b in zip(whole_x[r], whole_q[i], strict=True)))), int(ids[r])) for r in rows]
+            best, at = sorted(best + new)[:k], at + step
+        found += [(int(query_ids[i]), d, -s) for s, d in best]
     return found
 
 
@@ -91,11 +110,11 @@ def top_k(
 ) -> DataFrame:
     """The k highest inner products of each query's vector floor(scale * x) with all other rows."""
     sane = F.col("v").isNotNull() & (F.size("v") > 0)
-    sane &= ~F.exists("v", lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == float("inf")))
+    sane &= ~F.exists("v", lambda e: e.isNull() | F.isnan(e) | (F.abs(e * scale) == float("inf")))
     rows = (
         vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), is_query.alias("asks"))
         .where(F.col("id").isNotNull() & sane)
-        .select("id", F.transform("v", lambda e: F.floor(e * scale).cast("long")).alias("v"), F.coalesce("asks", F.lit(False)).alias("asks"))
+        .select("id", F.transform("v", lambda e: e * scale).alias("v"), F.coalesce("asks", F.lit(False)).alias("asks"))
     )
     n, n_asks = rows.agg(F.count("*"), F.count_if("asks")).first()
     n_blocks, n_chunks = max(1, -(-n // block_rows)), max(1, -(-n_asks // query_rows))
@@ -114,7 +133,7 @@ def top_k(
 def _searcher(k: int, n_pivots: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
     def matrix(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         flat = t.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False)
-        return t.column("id").to_numpy(), flat.reshape(t.num_rows, -1).astype(np.float64)
+        return t.column("id").to_numpy(), np.floor(flat.reshape(t.num_rows, -1).astype(np.float64))
 
     def search(asked: pa.Table, given: pa.Table) -> pa.Table:
         found = search_block(*matrix(asked), *matrix(given), k, n_pivots) if asked.num_rows and given.num_rows else []

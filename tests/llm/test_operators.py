@@ -534,7 +534,7 @@ def _top(rows, asks, k):
     vectors = [(i, [int(np.floor(1024 * np.float64(x))) for x in v]) for i, v in rows]
     out = set()
     for q, v in dict((i, v) for i, v in vectors if asks(i)).items():
-        found = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i) for i, w in vectors if i != q and len(w) == len(v))[:k]
+        found = sorted((-max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(v, w, strict=True)))), i) for i, w in vectors if i != q and len(w) == len(v))[:k]
         out |= {(q, rank, i, -s) for rank, (s, i) in enumerate(found, 1)}
     return out
 
@@ -552,6 +552,17 @@ def test_top_k(spark, block_rows, query_rows):
     assert {r.rank for r in topk.top_k(df.where("vec_id IN (71, 73)"), F.lit(True)).collect()} == {1}
 
 
+@pytest.mark.parametrize("block_rows", [16384, 9])
+def test_top_k_of_large_components(spark, block_rows):
+    """Sums beyond 2^53 are exact, scores beyond a long count as the nearest one."""
+    rng = np.random.default_rng(7)
+    rows = [(i, [float(x) for x in rng.normal(0, 10.0 ** (i % 9), 4)]) for i in range(40)]
+    rows += [(50, [1e17] * 4), (51, [-1e17] * 4), (52, [1e17, -1e17, 1.0, 0.0]), (53, [1e300] * 4), (54, [9007199254740993.0, 1.0, 0.0, 0.0]), (55, [9007199254740992.0, 1.5, 0.0, 0.0])]
+    df = spark.createDataFrame([*rows, (60, [1e306, 0.0, 0.0, 0.0])], "vec_id long, embedding array<double>")
+    got = topk.top_k(df, F.col("vec_id") >= 0, block_rows=block_rows, k=12).collect()
+    assert {(r.query_id, r.rank, r.vec_id, r.score) for r in got} == _top(rows, lambda i: True, 12)
+
+
 def test_pivots_stop_early():
     rng = np.random.default_rng(8)
     centres = rng.normal(0, 3000, (20, 6)).round()
