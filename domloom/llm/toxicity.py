@@ -248,8 +248,11 @@ def training_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _judged(scored: DataFrame, trains: DataFrame, doc_id: str = "doc_id", lang: str = "lang", score: str = "score") -> DataFrame:
-    """(lang, threshold) for the scored rows; one row a language that has labels, joined by its measured size."""
-    return thresholds(scored.select(F.col(doc_id).alias("doc_id"), F.col(lang).cast("string").alias("lang"), F.col(score).alias("score")), trains)
+    """(lang, threshold) for the scored rows: one row a language that has labels.
+
+    A written table: its size is known before the join, so the rows are shuffled only if it is too large to send.
+    """
+    return stage(thresholds(scored.select(F.col(doc_id).alias("doc_id"), F.col(lang).cast("string").alias("lang"), F.col(score).alias("score")), trains), "thresholds")
 
 
 def classify(docs: DataFrame, trains: DataFrame) -> DataFrame:
