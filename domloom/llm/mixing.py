@@ -22,11 +22,11 @@ whatever their names, pass through ``mix``.  An empty table gives no rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, documents
+from .common import WORD, documents, stage
 
 SEED = "mix"
 WEIGHTS = (3, 1, 2)
@@ -52,12 +52,17 @@ def targets(sized: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, total: floa
     return found.select("m_source", "m_source_size", F.least(share, F.col("cap")).alias("m_target"))
 
 
-def plan(docs: DataFrame, *, seed: str = SEED, weights: tuple[int, ...] = WEIGHTS, total: float = 1.5, cap: float = 2.0) -> DataFrame:
-    """m_row (the document's row), m_doc, m_size, m_source_size, m_target and m_copies of every row of docs."""
-    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("m_size")
+def words_in(text: str) -> Column:
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def plan(docs: DataFrame, *, size: Column | None = None, seed: str = SEED, weights: tuple[int, ...] = WEIGHTS, total: float = 1.5, cap: float = 2.0) -> DataFrame:
+    """m_row (the document's row), m_doc, m_size, m_source_size, m_target and m_copies of every row of docs; size: a column that holds the words of a row."""
+    size = (words_in("text") if size is None else size).alias("m_size")
     # the row travels as one struct, so no name of its columns can clash
     sized = docs.select(F.struct(*docs.columns).alias("m_row"), F.col("doc_id").alias("m_doc"), F.col("source").alias("m_from"), size)
-    goal = targets(docs.select(F.col("source").alias("m_source"), size), weights=weights, total=total, cap=cap)
+    # a written table of one row a source: its size is known before the join, so the rows are shuffled only if it is too large to send
+    goal = stage(targets(docs.select(F.col("source").alias("m_source"), size), weights=weights, total=total, cap=cap), "targets")
     joined = sized.join(goal, sized["m_from"].eqNullSafe(goal["m_source"]), "left").drop("m_source", "m_from")
     rate = F.when(F.col("m_source_size") > 0, F.col("m_target") / F.col("m_source_size")).otherwise(0.0)
     key = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("m_doc").cast("string"), F.lit("null")))
@@ -73,9 +78,10 @@ def mix(docs: DataFrame, **options) -> DataFrame:
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir).select("doc_id", "text", "source")
+    # texts are read once
+    docs = stage(documents(spark, sf_dir).select("doc_id", "source", words_in("text").alias("size")), "sizes")
     taken = (F.col("m_copies") * F.col("m_size")).alias("taken")
-    return plan(docs).select(F.col("m_doc").alias("doc_id"), F.col("m_size").alias("size"), F.col("m_source_size").alias("source_size"), F.col("m_target").alias("target"), taken)
+    return plan(docs, size=F.col("size")).select(F.col("m_doc").alias("doc_id"), F.col("m_size").alias("size"), F.col("m_source_size").alias("source_size"), F.col("m_target").alias("target"), taken)
 
 
 ORACLE = r"""
