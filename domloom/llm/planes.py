@@ -46,6 +46,7 @@ from .tokens import encoder, tokenizer_path
 MAGIC = b"DLP1"
 HEAD, FOOT = struct.Struct("<4sBIQQ"), struct.Struct("<QIQI")
 BYTE, BIT = 1, 2
+RANGE_BYTES = 1 << 28
 
 
 def to_planes(ids: np.ndarray, kind: int) -> list[bytes]:
@@ -141,7 +142,9 @@ def _writer(path: str, end_id: int, kind: int, ids_per_file: int) -> Callable:
 
 def write_planes(docs: DataFrame, *, path: str | None = None, end_id: int = 2, kind: int = BYTE, ids_per_file: int = 1 << 21) -> DataFrame:
     """The table of files (part, seq, n_ids, file), kept in the shared folder."""
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # ranges of about RANGE_BYTES of text, whatever the number of shuffle partitions is
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES))
     ordered = docs.select("doc_id", "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
     made = ordered.mapInArrow(_writer(path or tokenizer_path(), end_id, kind, ids_per_file), "part int, seq int, n_ids long, file binary")
     return stage(made, "files")
@@ -176,7 +179,8 @@ def read_planes(files: DataFrame) -> DataFrame:
     files_at = F.sum("n_ids").over(W.partitionBy("part").orderBy("seq")) - F.col("n_ids")
     starts = sizes.withColumn("file_start", files_at).join(parts, "part").select("part", "seq", (F.col("file_start") + F.col("part_start")).alias("base"))
     read = files.select("part", "seq", "file").mapInArrow(_read_files, "part int, seq int, doc_id long, inside long, n_tokens long, ids_crc32 long")
-    return read.join(starts, ["part", "seq"]).select("doc_id", (F.col("base") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32")
+    # a written table of one row a file: its size is known before the join
+    return read.join(stage(starts, "starts"), ["part", "seq"]).select("doc_id", (F.col("base") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def export_files(files: DataFrame, folder: str) -> list[str]:
