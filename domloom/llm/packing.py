@@ -81,7 +81,8 @@ def pack(docs: DataFrame, *, path: str | None = None, end_id: int = 1, longest:
     pieces = stage(docs.select("doc_id", "text").mapInArrow(tb.tidy(_packer(path or tokenizer_path(), end_id, longest, with_ids)), schema), "pieces")
     counts = pieces.groupBy("length", "part").agg(F.count("*").alias("n"))
     first = counts.select("length", "part", (F.sum("n").over(W.orderBy(F.desc("length"), "part")) - F.col("n")).alias("first"))
-    numbered = pieces.join(first, ["length", "part"])
+    # a written table of twelve rows a partition: its size is known before the join, so the pieces are shuffled only if it is too large to send
+    numbered = pieces.join(stage(first, "first"), ["length", "part"])
     columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("first") + F.col("place")).alias("sequence_id"), F.lit(0).cast("long").alias("offset")]
     return numbered.select(*columns, *["ids"] * with_ids)
 
