@@ -24,9 +24,9 @@ class Store(Protocol):
 
 
 def latest(rows: DataFrame, keys: tuple[str, ...] = ("site", "identifier"), version: str = "version") -> DataFrame:
-    """The newest row of each key, with the creation version of the oldest; aggregated before the shuffle."""
+    """The newest row of each key (of equal versions the one of greatest hash), with the creation version of the oldest; aggregated before the shuffle."""
     others = [c for c in rows.columns if c not in keys]
-    found = rows.groupBy(*keys).agg(F.max_by(F.struct(*others), version).alias("r"), F.min(version).alias("created"))
+    found = rows.groupBy(*keys).agg(F.max_by(F.struct(*others), F.struct(version, F.xxhash64(*others))).alias("r"), F.min(version).alias("created"))
     return found.select(*keys, *[F.col(f"r.{c}").alias(c) for c in others], "created")
 
 

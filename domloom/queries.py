@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from domloom.crawl import frontier, policy, stats
 from domloom.functions import attrs, http, text
 from domloom.functions import url as urls
-from domloom.operators import convert, induce, metadata, navigation, pagination, similarity, structured
+from domloom.operators import convert, induce, metadata, navigation, pagination, similarity, store, structured
 from domloom.plans import relational
 from domloom.selection.api import find_all, find_by_regex, xpath
 from domloom.sources.pages import parse_pages, select, text_nodes
@@ -745,3 +745,109 @@ def events_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT page_id, CAST(count(*) AS BIGINT) AS texts FROM (SELECT page_id, unnest([x FOR x IN regexp_split_to_array(regexp_replace(regexp_replace(html, '<!DOCTYPE html>|<!--.*?-->', '', 'gs'), '<script>.*?</script>', '<s>x</s>', 'gs'), '<[^>]*>') IF trim(x) <> '']) AS x FROM pages) GROUP BY 1")
 def text_node_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_nodes(spread(pages(spark, sf_dir))).groupBy("page_id").agg(F.count("*").alias("texts"))
+
+
+# ---- H: more of the same, for operators that the groups above do not reach
+
+@query(
+    """SELECT n_nationkey, lower(n_name) AS folded, repeat('*', (30 - length(n_name)) // 2) || n_name || repeat('*', 30 - length(n_name) - (30 - length(n_name)) // 2) AS centred,
+    repeat(' ', 8) || n_name AS tabs, n_name AS stripped, n_name || ' ' AS left_stripped, rtrim(n_name, '12') AS right_stripped, upper(left(n_name, 1)) || lower(substr(n_name, 2)) AS titled,
+    CAST(3 AS INTEGER) AS pieces, n_name || '-x' AS joined, contains(lower(n_name), 'nation_1') AS has, replace(replace(n_name, 'N', ''), 'A', 'aa') AS mapped, '7' || n_name AS formatted FROM nation"""
+)
+def string_methods_more(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.col("n_name")
+    padded = F.concat(F.lit(" \t"), c, F.lit(" "))
+    return table(spark, sf_dir, "nation").select(
+        "n_nationkey",
+        text.casefold(c).alias("folded"),
+        text.center(c, 30, "*").alias("centred"),
+        text.expandtabs(F.concat(F.lit("\t"), c)).alias("tabs"),
+        text.strip(padded).alias("stripped"),
+        text.lstrip(padded).alias("left_stripped"),
+        text.rstrip(c, "12").alias("right_stripped"),
+        text.title(c).alias("titled"),
+        F.size(text.split(F.concat(F.lit("a  b "), c))).alias("pieces"),
+        text.join("-", F.array(c, F.lit("x"))).alias("joined"),
+        text.contains(c, "Nation_1", case_sensitive=False).alias("has"),
+        text.translate_map(c, {65: "aa", 78: None}).alias("mapped"),
+        text.format_text(F.concat(F.lit("{x}"), c), x="7").alias("formatted"),
+    )
+
+
+_HREFS = "regexp_extract_all(html, '<li><a href=\"([^\"]*)\"', 1)"
+
+
+@query(f"""WITH l AS (SELECT page_id, {_HREFS} AS h FROM pages)
+    SELECT page_id, {_decoded('h[1]')} AS first_href, {_decoded('h[len(h)]')} AS last_href, CAST(len(h) AS INTEGER) AS n, CAST(len(regexp_extract_all(array_to_string(h, ' '), '/')) AS INTEGER) AS slashes FROM l""")
+def text_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = strings(spark, sf_dir, h="nav li > a::attr(href)")
+    return found.select("page_id", text.get("h").alias("first_href"), text.last("h").alias("last_href"), text.length("h").alias("n"), F.size(text.re_each("h", "/")).alias("slashes"))
+
+
+@query(r"""SELECT n_regionkey, CASE WHEN count(*) = 1 THEN 'item\ ' || min(chr(CAST(65 + n_nationkey AS INTEGER))) || '\ end' ELSE '^item\ .*?\ end$' END AS regex FROM nation GROUP BY 1""")
+def regex_induced_affixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Neither equal nor of one shape: what the examples share at both ends."""
+    example = F.concat(F.lit("item "), F.char((F.col("n_nationkey") + 65).cast("long")), F.lit(" end"))
+    return induce.induce_by(table(spark, sf_dir, "nation").select("n_regionkey", example.alias("s")), "n_regionkey", "s")
+
+
+@query("SELECT page_id, replace(replace(replace(regexp_extract(html, '<h1>[^<]*</h1>'), '&copy;', '©'), '&middot;', '·'), '&quot;', '\"') AS markup FROM pages WHERE contains(html, '<h1>')")
+def h1_markup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = spread(pages(spark, sf_dir)).select("page_id", convert.content("html", "html", selector="h1").alias("c"))
+    return found.select("page_id", F.get("c", 0).alias("markup")).where("markup <> ''")
+
+
+# Worked out by hand.  The checks are tag, text, attributes, class, path, parent's tag, parent's attributes:
+# seven in all, and each row changes one or two of them.
+@query("SELECT id, CAST(score AS DOUBLE) AS score FROM (VALUES (1, 100.0), (2, 96.43), (3, 85.71), (4, 85.71), (5, 85.71)) t(id, score)")
+def similarity_golden(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """1 the same; 2 three of four letters of the text; 3 no text; 4 the parent, bare before, gains an attribute; 5 another class, half alike."""
+    rows = [(1, '<div><p class="abcd">wxyz</p></div>'), (2, '<div><p class="abcd">wxya</p></div>'), (3, '<div><p class="abcd"></p></div>'), (4, '<div id="k"><p class="abcd">wxyz</p></div>'), (5, '<div><p class="abxx">wxyz</p></div>')]
+    found = similarity.fingerprints(spark.createDataFrame(rows, "id int, html string"), "p", page_id="id")
+    stored = found.where("page_id = 1").select(F.col("fingerprint").alias("stored"))
+    return found.join(F.broadcast(stored)).select(F.col("page_id").alias("id"), similarity.score_pairs("stored", "fingerprint").alias("score"))
+
+
+@query("SELECT * FROM (VALUES (CAST(1 AS BIGINT), false, 'new'), (2, true, 'old')) t(page_id, relocated, price)")
+def adaptive_golden(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The selector's match where it has one, else the element most like the saved one."""
+    rows = [(1, "s", '<div><i>x</i><p id="cost" class="price">new</p></div>'), (2, "s", '<main><i>x</i><p id="sum" class="price">old</p><b>y</b></main>')]
+    p = spark.createDataFrame(rows, "page_id long, site string, html string")
+    saved = store.auto_save(similarity.fingerprints(p, "#cost"), F.lit("s"), "#cost")
+    places = similarity.adaptive_select(p, "#cost", saved)
+    return places.join(parse_pages(p, want=["text"]), ["page_id", "pre"]).select("page_id", "relocated", F.col("text").alias("price"))
+
+
+@query("SELECT o_custkey % 50 AS site, o_custkey % 3 AS identifier, max(o_orderkey) AS version, max_by(o_totalprice, o_orderkey) AS price, min(o_orderkey) AS created FROM orders GROUP BY 1, 2")
+def store_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    saved = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 50).alias("site"), (F.col("o_custkey") % 3).alias("identifier"), F.col("o_orderkey").alias("version"), F.col("o_totalprice").alias("price"))
+    return store.latest(saved)
+
+
+@query("SELECT n_nationkey, n_nationkey % 3 = 2 AS kept FROM nation")
+def items_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.col("n_nationkey") % 3
+    item = F.when(kind == 1, F.array().cast("array<string>")).when(kind == 2, F.array("n_name"))
+    kept, dropped = policy.keep_items(table(spark, sf_dir, "nation"), item)
+    return kept.select("n_nationkey", F.lit(True).alias("kept")).unionAll(dropped.select("n_nationkey", F.lit(False)))
+
+
+@query(
+    """SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN 'http://h' || n_nationkey || '.example:80' END AS server, CASE WHEN n_nationkey % 2 = 0 THEN 'u' || n_nationkey END AS username,
+    CASE WHEN n_nationkey % 2 = 0 THEN 'p:' || n_nationkey END AS password, CASE WHEN n_nationkey % 2 = 0 THEN 'iso-8859-' || n_nationkey ELSE 'utf-8' END AS charset FROM nation"""
+)
+def proxy_and_charset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses of proxies taken apart (null for a scheme that is none of a proxy's), and declared encodings."""
+    key, even = F.col("n_nationkey").cast("string"), F.col("n_nationkey") % 2 == 0
+    rest = F.concat(F.lit("://u"), key, F.lit(":p:"), key, F.lit("@h"), key, F.lit(".example:80"))
+    address = F.concat(F.when(even, "http").otherwise("ftp"), rest)
+    kind = F.when(even, F.concat(F.lit("text/html; charset=iso-8859-"), key)).otherwise("text/html")
+    return table(spark, sf_dir, "nation").select("n_nationkey", http.proxy_parts(address).alias("p"), http.charset_of(kind).alias("charset")).select("n_nationkey", "p.server", "p.username", "p.password", "charset")
+
+
+@query("SELECT * FROM (VALUES (1, 1), (2, 2), (3, 3), (4, NULL)) t(id, a)")
+def json_fallbacks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON of the raw body, of its leading text, of all its text; null where none parses."""
+    rows = [(1, '{"a": 1}'), (2, '<body>{"a": 2}<p>x</p></body>'), (3, '<body><p>{"a":</p><p>3}</p></body>'), (4, "<p>no</p>")]
+    found = spark.createDataFrame(rows, "id int, html string").select("id", convert.page_json().alias("v"))
+    return found.select("id", F.try_variant_get("v", "$.a", "int").alias("a"))
