@@ -239,3 +239,12 @@ def test_text_and_markdown():
     assert markdown(parse("<h1>Title</h1><p>P <b>bold</b> <a href='/u'>l</a></p>")) == "Title\n=====\n\nP **bold** [l](/u)"
     assert markdown(parse("<ol><li>a</li><li>b</li></ol><ul><li>c</li></ul>")) == "1. a\n2. b\n\n* c"
     assert "<li>" in outer_html(parse("<ul><li>x</ul>"), pretty=True)
+
+
+def test_references_without_a_semicolon_are_text():
+    """As titles cut inside a reference have them; a query string's &copy=1 too."""
+    t = parse('<title>a &amp; b &amp</title><h1 id="?x&copy=1&amp;y">c&&amp;&copy; &notit; &#38;&#x26 d&am</h1>')
+    assert t.text[t.tag.index("title")] == "a & b &amp"
+    h1 = t.tag.index("h1")
+    assert t.text[h1] == "c&&© &notit; && d&am"
+    assert t.attrs(h1) == {"id": "?x&copy=1&y"}
