@@ -26,10 +26,11 @@ works on the compressed levels, for many bigrams at once; no level is decoded.
    2^17 words, so that list is broadcast with their counts); then in a shard of the
    pair, so no context can fill a shard.
 3. Every block sends its distinct words and bigrams with their training counts to the
-   shards.  Shards are reached through lanes, FAN at most from any sender: with more
-   shards than that, a lane is a range of shards, the requests of FAN blocks in one
-   lane are combined (counts of equal bigrams added) and dealt to FAN lanes inside it,
-   and so on.  So the rows sent grow with the corpus, not with blocks x shards.
+   shards, FAN of them at most.  With more shards than that, a lane is a range of
+   shards, the requests of some blocks in one lane are combined (counts of equal bigrams
+   added) and dealt to the lanes inside it, and so on.  There are as many lanes as blocks
+   combined, the same in every round: so a task holds about what one block asks, whatever
+   the number of shards, and the rows sent grow with the corpus, not with blocks x shards.
 4. A shard adds the counts of all requests, writes and maps its trie, and looks the
    requested bigrams up.  Answers go back the way that requests came.
 5. Blocks and answers meet by block; tokens are scored and summed by document.
@@ -61,7 +62,7 @@ from .common import documents, fold, shared_folder, stage
 
 BLOCK_BYTES = 1 << 22
 SHARD_TOKENS, LEAST_SHARDS = 2_000_000, 64
-FAN = 256
+FAN = 1 << 12
 HOT = 1 << 17
 MU = 400.0
 STEPS, LEAST = 64, -16.0  # codes per decade of probability, and the least log10 kept
@@ -481,6 +482,20 @@ def _score(sent, shards: int, width: int, total: int, vocabulary: int, n_docs: i
     return score
 
 
+def lanes(shards: int) -> tuple[int, list[int]]:
+    """How many lanes a sender reaches, FAN at most, and how many shards a lane holds in each round, one in the last.
+
+    The rounds are as few as FAN allows; the lanes are then made even over them, since a first round of few lanes
+    would put a large share of many blocks into one task.
+    """
+    rounds, fan = 1, 1
+    while FAN**rounds < shards:
+        rounds += 1
+    while fan**rounds < shards:
+        fan += 1
+    return fan, [fan**k for k in reversed(range(rounds))]
+
+
 def score_documents(docs: DataFrame, trains, *, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score); trains: a boolean column of docs."""
     spark, folder = docs.sparkSession, shared_folder(docs.sparkSession)
@@ -494,21 +509,19 @@ def score_documents(docs: DataFrame, trains, *, shard_tokens: int = SHARD_TOKENS
     hot_n[counted.column("place").to_numpy()] = counted.column("n").to_numpy()
     sent, shards = spark.sparkContext.broadcast((hot, hot_n)), max(LEAST_SHARDS, -(-n_tokens // shard_tokens))
 
-    # lanes are ranges of so many shards: the first holds all shards in FAN lanes at most, the last one shard each
-    widths = [1]
-    while shards > FAN * widths[0]:
-        widths.insert(0, FAN * widths[0])
+    fan, widths = lanes(shards)
     asked = blocks.select("block", "trains", "words", "tokens").mapInArrow(tb.tidy(_ask(sent, shards, widths[0])), ASKED)
     passed, groups = [], n_blocks
     for k, width in enumerate(widths[1:]):
-        groups = -(-groups // FAN)
+        groups = -(-groups // fan)
         asked = stage(asked, f"asked-{k}", folder).withColumn("group", F.pmod(F.xxhash64("block", F.lit(k)), F.lit(max(groups, 1))))
         passed.append(asked)
         asked = asked.groupBy("lane", "group").applyInArrow(_combine(sent, shards, width), ASKED)
     served = stage(asked.groupBy("lane").applyInArrow(_serve(sent, n_docs), ANSWERS), "answers", folder)
+    spark.sparkContext._jvm.System.gc()  # lets Spark drop the requests' shuffle files, which nothing reads again
     vocabulary = int(served.agg(F.sum("distinct")).first()[0] or 0) + (n_docs > 0)
     for width, before in zip(reversed(widths[1:]), reversed(passed), strict=True):
-        back = served.withColumn("inside", F.floor(F.col("lane") / FAN).cast("int"))
+        back = served.withColumn("inside", F.floor(F.col("lane") / fan).cast("int"))
         served = before.groupBy("lane", "group").cogroup(back.groupBy("inside", "block")).applyInArrow(_expand(sent, shards, width), ANSWERS)
     answers = served.groupBy("block").agg(F.collect_list(F.struct("lane", "answer")).alias("answers"))  # FAN lanes at most
     joined = blocks.select("block", "doc_ids", "trains", "words", "tokens").join(answers, "block")

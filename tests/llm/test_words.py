@@ -207,6 +207,16 @@ def test_trie(tmp_path):
     t.close()
 
 
+@pytest.mark.parametrize(("most", "shards"), [(256, 64), (256, 272), (256, 830), (256, 70_000), (5, 65), (4096, 4097)])
+def test_a_combined_request_holds_about_a_block(monkeypatch, most, shards):
+    """As many blocks are combined as there are lanes; 272 shards used to give lanes of 256 and of 16 shards, and 256 blocks each."""
+    monkeypatch.setattr(lm, "FAN", most)
+    fan, widths = lm.lanes(shards)
+    assert fan <= most and widths[-1] == 1 and all(a == fan * b for a, b in zip(widths, widths[1:], strict=False))
+    assert fan * widths[0] >= shards
+    assert len(widths) == 1 or fan * widths[0] / shards <= 2
+
+
 def test_requests_combine_and_answers_come_back():
     """Asks dealt to lanes, combined, dealt again: every count and code reaches its asker."""
     rng, shards = np.random.default_rng(3), 37
