@@ -518,7 +518,6 @@ def score_documents(docs: DataFrame, trains, *, shard_tokens: int = SHARD_TOKENS
         passed.append(asked)
         asked = asked.groupBy("lane", "group").applyInArrow(_combine(sent, shards, width), ASKED)
     served = stage(asked.groupBy("lane").applyInArrow(_serve(sent, n_docs), ANSWERS), "answers", folder)
-    spark.sparkContext._jvm.System.gc()  # lets Spark drop the requests' shuffle files, which nothing reads again
     vocabulary = int(served.agg(F.sum("distinct")).first()[0] or 0) + (n_docs > 0)
     for width, before in zip(reversed(widths[1:]), reversed(passed), strict=True):
         back = served.withColumn("inside", F.floor(F.col("lane") / fan).cast("int"))
